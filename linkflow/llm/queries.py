@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkflow.llm import encoding, repeats, seen, spam
+from linkflow.llm import abuse, boilerplate, encoding, repeats, seen, spam
 from linkflow.llm.pages import html_pages
 from linkflow.session import table
 
@@ -16,6 +16,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     """Query name to function of session and data folder; the whole tables are read."""
     return {
+        "p1_found": lambda s, d: boilerplate.articles(table(s, d, "crawl_uris")),
+        "p1_texts": lambda s, d: boilerplate.article_texts(html_pages(table(s, d, "crawl_uris"))),
         "p3_found": lambda s, d: encoding.damaged_fields(table(s, d, "crawl_uris")),
         "p3_repaired": lambda s, d: encoding.repair(table(s, d, "crawl_uris")),
         "p5_found": lambda s, d: spam.spam_pages(table(s, d, "crawl_uris")),
@@ -25,6 +27,9 @@ def queries() -> dict[str, Query]:
         "p6_cleaned": lambda s, d: repeats.without_repeats(table(s, d, "crawl_uris")),
         "p7_found": lambda s, d: seen.known_records(table(s, d, "crawl_uris"), table(s, d, "queue"), "url", "fetch_id", "fetch_id"),
         "p7_error_rate": lambda s, d: seen.error_rate(table(s, d, "crawl_uris"), table(s, d, "queue"), "url", "fetch_id", "fetch_id"),
+        "p10_found": lambda s, d: abuse.abusive_documents(table(s, d, "documents")),
+        "p10_scores": lambda s, d: abuse.score_documents(table(s, d, "documents")),
+        "p10_rates": lambda s, d: abuse.rates(table(s, d, "documents")),
     }
 
 
