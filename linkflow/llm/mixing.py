@@ -5,9 +5,11 @@ it, so a document of source ``s`` is to be used ``share * total / tokens(s)`` ti
 which is at most its cap. The whole part is given to every document; the fraction is
 decided by the pivotal method: two documents with fractional probabilities trade token
 mass, in a random direction that keeps both expectations, until one is used or not. The
-source's token mass stays the same in each trade, so reached shares differ from targets
-by less than one document per source. Each partition leaves at most one undecided
-document per source; these meet in a reduction tree.
+source's token mass stays the same in each trade. Each partition leaves at most one
+undecided document per source; these meet in a reduction tree, and the last one is drawn.
+Large documents are decided first and the others' rate makes up for the outcome, so a
+source's reached tokens differ from its budget by less than one document of 1 % of it. A
+document above its source's whole budget is not used.
 
 Draws are seeded by partition, source and level: the same input gives the same mix.
 Documents without tokens, without a source, or of a source without a target are not used.
@@ -17,7 +19,6 @@ the others.
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections.abc import Iterator
 
@@ -31,6 +32,8 @@ from linkflow.llm.tokens import VOCABULARY, sized
 from linkflow.session import materialize
 
 FAN = 32
+#: A document above this share of its source's budget is large.
+LARGE = 0.01
 MIXED = "doc_id long, source string, tokens long, copies long, p double, part long"
 
 
@@ -83,18 +86,18 @@ def _seed(seed: int, *parts) -> int:
     return zlib.crc32(repr((seed, *parts)).encode())
 
 
-def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, path: str = VOCABULARY, seed: int = 7) -> DataFrame:
-    """``doc_id, source, tokens, copies`` of the documents that are used at least once.
+def _meet(seed: int, step: int, last: bool):
+    """A node of the reduction tree: at most ``FAN`` undecided documents of a source."""
 
-    ``targets`` (``source, target_share, max_repeats``) is a table of settings and is read
-    to the driver. A document's ``copies`` are at most its source's ``max_repeats``.
-    """
-    goal = {r["source"]: (float(r["target_share"] or 0), int(r["max_repeats"] or 0)) for r in targets.where("source is not null").collect()}
-    docs = materialize(sized(documents, path).where("tokens > 0 and source is not null"))
-    known = docs.where(F.col("source").isin(list(goal))) if goal else docs.limit(0)
-    # one row per target
-    available = {r["source"]: r["tokens"] for r in known.groupBy("source").agg(F.sum("tokens").alias("tokens")).collect()}
-    rate = rates(available, goal, total)
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values(["doc_id", "tokens"])
+        return _settle(f, _seed(seed, "level", step, int(f["part"].iloc[0]), f["source"].iloc[0]), last)
+
+    return run
+
+
+def pivot(docs: DataFrame, rate: dict[str, float], seed: int) -> DataFrame:
+    """``doc_id, source, tokens, copies`` of documents whose source has a rate: whole copies, and the fraction by the pivotal method."""
 
     def first(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part = TaskContext.get().partitionId()
@@ -117,26 +120,45 @@ def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, pa
                 yield g[~held]
         yield from open_.values()
 
-    level = materialize(known.mapInPandas(first, MIXED))
-    parts = [level.where("p = 0")]
-    rest = level.where("p > 0")
+    level = materialize(docs.select("doc_id", "source", "tokens").mapInPandas(first, MIXED))
+    out, rest = level.where("p = 0"), level.where("p > 0")
     groups = (level.agg(F.max("part")).first()[0] or 0) + 1
-    for step in range(1, max(1, math.ceil(math.log(max(groups, 2), FAN))) + 1):
+    step, last = 0, False
+    while not last:
+        step += 1
         last = FAN**step >= groups
+        level = materialize(rest.withColumn("part", F.call_function("div", F.col("part"), F.lit(FAN))).groupBy("source", "part").applyInPandas(_meet(seed, step, last), MIXED))
+        out, rest = out.unionByName(level.where("p = 0")), level.where("p > 0")
+    return out.select("doc_id", "source", "tokens", "copies")
+
 
-        def meet(f: pd.DataFrame, step=step, last=last) -> pd.DataFrame:
-            f = f.sort_values(["doc_id", "part"])
-            return _settle(f, _seed(seed, "level", step, int(f["part"].iloc[0]), f["source"].iloc[0]), last)
-
-        level = materialize(rest.withColumn("part", F.call_function("div", F.col("part"), F.lit(FAN))).groupBy("source", "part").applyInPandas(meet, MIXED))
-        parts.append(level.where("p = 0"))
-        rest = level.where("p > 0")
-        if last:
-            break
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
-    return out.where("copies > 0").select("doc_id", "source", "tokens", "copies")
+def _sums(df: DataFrame, value) -> dict[str, int]:
+    """Per source, one row per target."""
+    return {r["source"]: r["n"] or 0 for r in df.groupBy("source").agg(F.sum(value).alias("n")).collect()}
+
+
+def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, path: str = VOCABULARY, seed: int = 7) -> DataFrame:
+    """``doc_id, source, tokens, copies`` of the documents that are used at least once.
+
+    ``targets`` (``source, target_share, max_repeats``) is a table of settings and is read
+    to the driver. A document's ``copies`` are at most its source's ``max_repeats``.
+    """
+    goal = {r["source"]: (float(r["target_share"] or 0), int(r["max_repeats"] or 0)) for r in targets.where("source is not null").collect()}
+    docs = materialize(sized(documents, path).where("tokens > 0 and source is not null"))
+    known = docs.where(F.col("source").isin(list(goal))) if goal else docs.limit(0)
+    available = _sums(known, F.col("tokens"))
+    rate = rates(available, goal, total)
+    if not rate:
+        return docs.limit(0).select("doc_id", "source", "tokens", F.lit(0).cast("long").alias("copies"))
+    budget = {s: r * available[s] for s, r in rate.items()}
+    of = F.try_element_at(F.create_map(*[F.lit(x) for kv in budget.items() for x in kv]), F.col("source"))
+    # large documents first: what they leave of a source's budget is made up by the others
+    large = materialize(pivot(known.where((F.col("tokens") > of * LARGE) & (F.col("tokens") <= of)), rate, seed))
+    used = _sums(large, F.col("tokens") * F.col("copies"))
+    small = known.where(F.col("tokens") <= of * LARGE)
+    there = _sums(small, F.col("tokens"))
+    rest = {s: min(float(goal[s][1]), max(0.0, b - used.get(s, 0)) / there[s]) for s, b in budget.items() if there.get(s)}
+    return large.unionByName(pivot(small, rest, seed + 1)).where("copies > 0")
 
 
 def shares(documents: DataFrame, targets: DataFrame, total: float | None = None, path: str = VOCABULARY, seed: int = 7) -> DataFrame:

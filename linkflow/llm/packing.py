@@ -30,7 +30,9 @@ from linkflow.llm.tokens import VOCABULARY, sized
 from linkflow.session import materialize
 
 #: Size classes, documents of a pattern, and the least fill of a pattern by its classes' upper bounds.
-CLASSES, MEMBERS, LEAST_FILL = 22, 4, 0.93
+CLASSES, MEMBERS, LEAST_FILL = 22, 4, 0.97
+#: Part of a container that a pattern's documents may leave empty; what fits worse is left to the residuals.
+SLACK = 0.002
 
 
 def nnls(a: np.ndarray, b: np.ndarray, limit: int = 300) -> np.ndarray:
@@ -102,13 +104,20 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, list[int]]
             need = int(repeats[j])
             while need > 0:
                 chosen: list[int] = []
-                for i in shapes[j]:
+                for i in shapes[j][1:]:
                     s = next((s for s in members[i] if left.get(s, 0) > chosen.count(s)), None)
                     if s is None:
                         break
                     chosen.append(s)
-                if len(chosen) < len(shapes[j]):
+                # the first document of the pattern closes the gap as tightly as there is a size for it
+                gap = capacity - sum(chosen)
+                at = int(np.searchsorted(sizes, gap, side="right")) - 1
+                while at >= 0 and left[int(sizes[at])] <= chosen.count(int(sizes[at])):
+                    at -= 1
+                s = int(sizes[at]) if at >= 0 else None
+                if len(chosen) < len(shapes[j]) - 1 or s is None or gap - s > capacity * SLACK:
                     break
+                chosen.append(s)
                 n = min(need, *(left[s] // chosen.count(s) for s in chosen))
                 for s in chosen:
                     left[s] -= n

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkflow.llm import abuse, boilerplate, encoding, repeats, seen, spam
+from linkflow.llm import abuse, boilerplate, encoding, mixing, packing, repeats, seen, spam
 from linkflow.llm.pages import html_pages
 from linkflow.session import table
 
@@ -27,6 +27,10 @@ def queries() -> dict[str, Query]:
         "p6_cleaned": lambda s, d: repeats.without_repeats(table(s, d, "crawl_uris")),
         "p7_found": lambda s, d: seen.known_records(table(s, d, "crawl_uris"), table(s, d, "queue"), "url", "fetch_id", "fetch_id"),
         "p7_error_rate": lambda s, d: seen.error_rate(table(s, d, "crawl_uris"), table(s, d, "queue"), "url", "fetch_id", "fetch_id"),
+        "p8_pack": lambda s, d: packing.pack(table(s, d, "documents"), table(s, d, "container_specs")),
+        "p8_fill": lambda s, d: packing.fill_rates(table(s, d, "documents"), table(s, d, "container_specs")),
+        "p9_mix": lambda s, d: mixing.mix(table(s, d, "documents"), table(s, d, "source_targets")),
+        "p9_shares": lambda s, d: mixing.shares(table(s, d, "documents"), table(s, d, "source_targets")),
         "p10_found": lambda s, d: abuse.abusive_documents(table(s, d, "documents")),
         "p10_scores": lambda s, d: abuse.score_documents(table(s, d, "documents")),
         "p10_rates": lambda s, d: abuse.rates(table(s, d, "documents")),
