@@ -9,17 +9,19 @@ from linkflow.session import header
 
 # Content types whose pages are searched for links, and day names.
 LINK_TYPES = ("text/html", "application/xhtml", "text/vnd.wap.wml", "application/vnd.wap.wml", "application/vnd.wap.xhtm")
+LAST_SECOND = 253_402_300_799
 DAYS = ("Sun", "Mon", "Tue", "Wed", "Thu", "Fri", "Sat")
 
 
 def http_date(value: Column) -> Column:
-    """Epoch seconds of a date in the standard header form, else null."""
-    return F.unix_timestamp(F.try_to_timestamp(F.substring(value, 6, 20), F.lit("dd MMM yyyy HH:mm:ss")))
+    """Epoch seconds of a date in the standard header form, else null (other forms: ``operators.timestamps``)."""
+    standard = value.rlike(r"^[A-Z][a-z]{2}, [0-9]{2} [A-Z][a-z]{2} [0-9]{4} [0-9]{2}:[0-9]{2}:[0-9]{2} GMT$")
+    return F.when(standard, F.unix_timestamp(F.try_to_timestamp(F.substring(value, 6, 20), F.lit("dd MMM yyyy HH:mm:ss"))))
 
 
 def format_http_date(seconds: Column) -> Column:
-    """Standard header form of epoch seconds."""
-    at = F.timestamp_seconds(seconds)
+    """Standard header form of epoch seconds; null for null and for seconds outside the years 1970 to 9999."""
+    at = F.timestamp_seconds(F.when(seconds.between(0, LAST_SECOND), seconds))
     day = F.get(F.array(*[F.lit(d) for d in DAYS]), F.dayofweek(at) - 1)
     return F.concat(day, F.lit(", "), F.date_format(at, "dd MMM yyyy HH:mm:ss"), F.lit(" GMT"))
 
@@ -40,9 +42,9 @@ def content_type(rep_header: str, body: Column) -> tuple[Column, Column]:
     Without a header the type is ``text/plain``. The meta element counts if ``content-type``
     and a ``content="..."`` after it stand within the first 512 bytes.
     """
-    kind, charset = type_and_charset(header(rep_header, "content-type"))
-    kind = F.coalesce(kind, F.lit("text/plain"))
-    charset = F.coalesce(charset, F.lit(""))
+    value = header(rep_header, "content-type")
+    kind, charset = type_and_charset(value)
+    kind = F.when(value.isNull(), "text/plain").otherwise(kind)
     head = F.lower(F.decode(F.substring(body, 1, 512), "ISO-8859-1"))
     meta = F.regexp_extract(head, r'(?s)content-type.*?content="([^"]*)"', 1)
     sniff = (charset == "") & (F.octet_length(body) >= 512) & (meta != "")

@@ -9,6 +9,7 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from linkflow.functions import http, urls
 from linkflow.session import header
@@ -73,13 +74,13 @@ def _unescape(text: str) -> str:
     return re.sub(r"&(#?\w+);", one, text, flags=re.ASCII)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape(text: pd.Series) -> pd.Series:
     """Entities decoded; unknown ones stay. Called only for tags that have an ``&``."""
     return text.map(lambda t: t if t is None else _unescape(t))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def join_url(base: pd.Series, link: pd.Series) -> pd.Series:
     """RFC 3986 resolution, for links with dot segments."""
 

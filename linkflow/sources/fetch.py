@@ -61,6 +61,7 @@ def fetch(requests: DataFrame, transport: Transport = http_transport, settings:
 
 def simulated(requests: DataFrame, web: DataFrame) -> DataFrame:
     """Results from a table ``url, status_code, rep_header, content_body, req_time`` in place of the net; unknown urls get 404."""
-    return requests.join(web, "url", "left").select(
+    pages = web.select("url", "status_code", "rep_header", "content_body", "req_time")
+    return requests.join(pages, "url", "left").select(
         "url", "effective_url", "current_priority", F.coalesce("status_code", F.lit(404)).alias("status_code"), "rep_header", "content_body", F.coalesce("req_time", F.lit(0.0)).alias("req_time"), F.lit(None).cast("string").alias("error")
     )
