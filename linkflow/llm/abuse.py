@@ -71,6 +71,7 @@ def _table() -> tuple[np.ndarray, np.ndarray]:
             t[k] = 255
     for k in INVISIBLE:
         t[k] = 255
+    t[2] = SPACE
     leet = np.full(_TOP, DIGIT, np.uint8)
     for d, c in DIGITS.items():
         leet[ord(d)] = ord(c) - 96
@@ -82,6 +83,14 @@ _ENDS = np.zeros(_TOP, bool)
 _ENDS[[ord(c) for c in ".!?…"]] = True
 
 
+def _near(k: int) -> int:
+    """Code point within the table that stands for one beyond it."""
+    if k == 0xFEFF or k > 0x10FFFF or 0xD800 <= k < 0xE000:
+        return 0x200B
+    base = ord(unicodedata.normalize("NFKC", chr(k))[0])
+    return base if base < _TOP else _RARE
+
+
 #: Ends a document where several are scored together.
 END_OF_TEXT = "\x02"
 
@@ -92,9 +101,11 @@ def symbols(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     Sentences end at line ends and at sentence marks before white space.
     """
     code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    if code.size and code.max() >= _TOP:  # wide and mathematical letters, rare signs
-        code = np.frombuffer(unicodedata.normalize("NFKC", text).replace("\ufeff", "").encode("utf-32-le", "surrogatepass"), np.uint32)
-        code = np.where(code < _TOP, code, _RARE)
+    far = code >= _TOP
+    if far.any():  # wide and mathematical letters, rare signs: one by one, so that a text counts the same alone and among others
+        kinds, at = np.unique(code[far], return_inverse=True)
+        code = code.copy()
+        code[far] = np.array([_near(int(k)) for k in kinds], np.uint32)[at]
     document = np.concatenate(([0], np.cumsum(code == 2)[:-1]))
     raw = CLASSES[code]
     seen = raw != 255
@@ -125,6 +136,11 @@ def symbols(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     # the same class again (stretched letters, runs of blanks) counts once
     keep = np.ones(len(raw), bool)
     keep[1:] = (raw[1:] != raw[:-1]) | (sentence[1:] != sentence[:-1])
+    raw, sentence, document = raw[keep], sentence[keep], document[keep]
+    # nor do blanks at the edges of a sentence
+    edge = np.ones(len(raw) + 1, bool)
+    edge[1:-1] = sentence[1:] != sentence[:-1]
+    keep = (raw != SPACE) | ~(edge[:-1] | edge[1:])
     return raw[keep], sentence[keep], document[keep]
 
 
@@ -254,7 +270,7 @@ class Scorer:
                 group.append(k)
                 size += len(t)
             if group and (size > CHUNK or k == len(texts)):
-                joined = END_OF_TEXT.join([texts[g].replace(END_OF_TEXT, " ") for g in group])
+                joined = "".join([texts[g].replace(END_OF_TEXT, " ") + END_OF_TEXT for g in group])
                 s, d = self.sentences(joined)
                 got = np.full(len(group), -np.inf)
                 np.maximum.at(got, d, s)
