@@ -11,6 +11,7 @@ each on its own.
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -22,7 +23,8 @@ from linkflow.llm.pages import Cache, charset_of, codec_of, decode, html_pages,
 
 #: Ratio of prose: SCALE * n ** -POWER for n characters, fitted to article text; times the language's factor.
 SCALE, POWER = 2.5, 0.215
-#: A block of LONG_CHARS is redundant below REDUNDANT times the ratio of prose, one of LEAST_CHARS below SHORT times.
+#: A block of LONG_CHARS is redundant below REDUNDANT times the ratio of prose, one of LEAST_CHARS below SHORT times;
+#: table rows, which repeat their form anyhow, at any length below SHORT times.
 REDUNDANT, SHORT, LONG_CHARS, LEAST_CHARS = 0.985, 0.75, 575, 200
 #: Share of the main block's text that redundant blocks must have.
 SHARE = 0.65
@@ -55,53 +57,51 @@ def redundancy(text: str, lang: str) -> float:
     return len(zlib.compress(text.encode(), 6)) / n / (LANGUAGES[lang][1] * SCALE * n**-POWER) if n else 1.0
 
 
-def blocks(texts: list[str]) -> list[tuple[str, float]]:
-    """Blocks of whole lines and their sentence ends per 1000 characters.
+def blocks(lines: list[tuple[str, bool]]) -> list[tuple[str, float, bool]]:
+    """Blocks of whole lines (text, whether a table row): text, sentence ends per 1000 characters, whether table rows.
 
-    A block is a run of lines that are all prose or all not, so that a few covering
-    sentences do not thin out what they cover. A line is prose if it has at least
+    A block is a run of lines of one kind: prose, table rows or other, so that a few
+    covering sentences do not thin out what they cover. A line is prose if it has at least
     ``SENTENCES`` sentence ends per 1000 characters.
     """
-    out: list[tuple[str, float]] = []
-    run: list[str] = []
-    ends, kind = 0, None
-    for t in texts:
-        e = len(END.findall(t))
-        k = e * 1000 >= SENTENCES * len(t)
-        if run and k != kind:
-            out.append(("\n".join(run), ends * 1000 / sum(map(len, run))))
-            run, ends = [], 0
-        run.append(t)
-        ends += e
-        kind = k
-    if run:
-        out.append(("\n".join(run), ends * 1000 / sum(map(len, run))))
+    out: list[tuple[str, float, bool]] = []
+    for (_, row), run in itertools.groupby(((t, r, len(END.findall(t))) for t, r in lines), key=lambda x: (x[2] * 1000 >= SENTENCES * len(x[0]), x[1])):
+        run = list(run)
+        out.append(("\n".join(t for t, _, _ in run), sum(e for _, _, e in run) * 1000 / sum(len(t) for t, _, _ in run), row))
     return out
 
 
-def judge(texts: list[str]) -> tuple[int, float, float, bool]:
+def kinds(block) -> list[tuple[str, bool]]:
+    """Text of each line of a main block, and whether it is a row of several cells."""
+    return [(x.text, x.own.startswith("tr>td>td")) for x in block]
+
+
+def judge(lines: list[tuple[str, bool]]) -> tuple[int, float, float, bool]:
     """Characters, redundancy, sentence ends per 1000 characters of the most redundant block, and the verdict.
 
     Texts without characters give ``(0, 1, 0, False)``.
     """
-    n = sum(map(len, texts))
+    n = sum(len(t) for t, _ in lines)
     if not n:
         return 0, 1.0, 0.0, False
-    lang = language(" ".join(texts))
+    parts = blocks(lines)
+    if not any(e < SENTENCES and len(b) >= LEAST_CHARS for b, e, _ in parts):
+        return n, 1.0, sum(e * len(b) for b, e, _ in parts) / n, False
+    lang = language(" ".join(t for t, _ in lines))
     worst, ends, verdict, heavy = 1.0, 0.0, False, 0
-    for block, e in blocks(texts):
+    for block, e, row in parts:
         size = len(block)
         ratio = redundancy(block, lang) if size >= LEAST_CHARS else 1.0
         if ratio < worst:
             worst, ends = ratio, e
-        if e < SENTENCES and ratio < (REDUNDANT if size >= LONG_CHARS else SHORT if size >= LEAST_CHARS else 0):
+        if e < SENTENCES and ratio < (SHORT if row else REDUNDANT if size >= LONG_CHARS else SHORT if size >= LEAST_CHARS else 0):
             verdict, heavy = True, heavy + size
     return n, worst, ends, verdict and heavy >= SHARE * n
 
 
 def is_spam(lines, parent, name) -> bool:
     """Verdict for a parsed page."""
-    return judge([x.text for x in main_block(lines, parent, name)[1]])[3]
+    return judge(kinds(main_block(lines, parent, name)[1]))[3]
 
 
 def score_spam(pages: DataFrame) -> DataFrame:
@@ -114,7 +114,7 @@ def score_spam(pages: DataFrame) -> DataFrame:
             for fetch_id, charset, body in zip(f["fetch_id"], f["charset"], f["content_body"], strict=True):
                 codec = codec_of(charset) if charset else charset_of(body, None)
                 page = parse(decode(body, codec), see)
-                rows.append((fetch_id, *judge([x.text for x in main_block(*page)[1]])))
+                rows.append((fetch_id, *judge(kinds(main_block(*page)[1]))))
             yield pd.DataFrame(rows, columns=["fetch_id", "n_chars", "redundancy", "sentence_ends", "spam"])
 
     return pages.select("fetch_id", "charset", "content_body").mapInPandas(run, "fetch_id long, n_chars long, redundancy double, sentence_ends double, spam boolean")
