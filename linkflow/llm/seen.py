@@ -28,6 +28,8 @@ TARGET = 0.01
 #: Keys of a shard; a shard's filter at TARGET takes about 1.5 bytes a key.
 SHARD_KEYS = 2_000_000
 BLOCK_WORDS = 8
+#: Keys that a task keeps to mark repeats before the shuffle.
+HELD = 500_000
 #: Arrival of keys that are asked for after all others and not inserted.
 ASK_ONLY = 2**62
 
@@ -69,14 +71,25 @@ class BlockedBloom:
 
 
 def _first_per_partition(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Map side: of each key's rows in a partition the first arrival goes on, the others are marked known."""
-    parts = [f for f in frames if len(f)]
-    if not parts:
-        return
-    f = pd.concat(parts, ignore_index=True)
-    f = f.sort_values(["key", "arrival"], kind="stable")
-    f["known"] = f["key"].duplicated().to_numpy()
-    yield f
+    """Map side: a row is marked known if an earlier arrival of its key has passed in this partition; the others go on.
+
+    The keys that have passed are kept up to ``HELD`` and then forgotten, which lets more
+    rows go on and changes no answer.
+    """
+    passed: dict[str, int] = {}
+    for f in frames:
+        f = f.sort_values(["key", "arrival"], kind="stable")
+        known = f["key"].duplicated().to_numpy()
+        keys, arrivals = f["key"].tolist(), f["arrival"].tolist()
+        if len(passed) > HELD:
+            passed.clear()
+        for i in np.flatnonzero(~known):
+            before = passed.get(keys[i])
+            if before is None or arrivals[i] < before:
+                passed[keys[i]] = arrivals[i]
+            else:
+                known[i] = True
+        yield f.assign(known=known)
 
 
 def _shard(target: float):
