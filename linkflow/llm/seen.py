@@ -128,7 +128,7 @@ def route(records: DataFrame, before: DataFrame, key: str, arrival: str, row: st
 def filter_claims(first: DataFrame, shards: int, keys: int, target: float) -> DataFrame:
     """``row, key, arrival`` of the records that the shards' filters claim to know."""
     routed = first.withColumn("hash", F.xxhash64("key")).withColumn("shard_keys", F.lit(-(-keys // shards) + 64).cast("long"))
-    return routed.repartition(shards, F.pmod(F.xxhash64(F.col("hash"), F.lit(7)), F.lit(shards))).sortWithinPartitions("arrival").select("row", "key", "arrival", "wanted", "hash", "shard_keys").mapInPandas(_shard(target), "row long, key string, arrival long")
+    return routed.repartition(shards, "hash").sortWithinPartitions("arrival").select("row", "key", "arrival", "wanted", "hash", "shard_keys").mapInPandas(_shard(target), "row long, key string, arrival long")
 
 
 def known_records(records: DataFrame, before: DataFrame, key: str, arrival: str, row: str, target: float = TARGET) -> DataFrame:
