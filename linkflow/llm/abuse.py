@@ -30,6 +30,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkflow.session import spread
+
 ORDER, SPAN, DECAY = 4, 6, 0.7
 ALPHABET = 32
 SPACE, STOP, DIGIT, STAR, OTHER = 0, 27, 28, 29, 30
@@ -297,7 +299,7 @@ def score_documents(documents: DataFrame, model: dict | None = None) -> DataFram
             score, bad = scorer.documents(f["text"].tolist())
             yield pd.DataFrame({"doc_id": f["doc_id"], "source": f["source"], "score": score, "n_bad": bad})
 
-    return documents.select("doc_id", "source", "text").mapInPandas(run, SCORES)
+    return spread(documents.select("doc_id", "source", "text"), "doc_id").mapInPandas(run, SCORES)
 
 
 def abusive_documents(documents: DataFrame) -> DataFrame:

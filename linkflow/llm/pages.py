@@ -14,7 +14,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkflow.session import header, site
+from linkflow.session import header, site, spread
 
 HTML_TYPES = ("text/html", "application/xhtml+xml")
 
@@ -27,7 +27,7 @@ def html_pages(crawl_uris: DataFrame) -> DataFrame:
     whose body is null are left out: they have no lines.
     """
     kind = header("rep_header", "content-type")
-    return (
+    found = (
         crawl_uris.where((F.col("status_code") == 200) & F.col("content_body").isNotNull() & F.col("rep_header").isNotNull())
         .select("fetch_id", "url", "content_body", kind.alias("_kind"))
         .where(F.lower(F.trim(F.substring_index("_kind", ";", 1))).isin(*HTML_TYPES))
@@ -39,6 +39,7 @@ def html_pages(crawl_uris: DataFrame) -> DataFrame:
             "content_body",
         )
     )
+    return spread(found, "fetch_id")
 
 
 META = re.compile(rb"<meta[^>]*charset\s*=\s*[\"']?\s*([A-Za-z0-9_:.-]+)", re.I)

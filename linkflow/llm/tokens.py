@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkflow.session import spread
+
 #: Vocabulary file (byte-level BPE ranks); every executor must see it under this path.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the split pattern that the vocabulary was made with.
@@ -39,4 +41,5 @@ def sized(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
         for f in frames:
             yield pd.DataFrame({"doc_id": f["doc_id"], "source": f["source"], "tokens": count(f["text"].tolist(), path)})
 
-    return documents.select(F.col("doc_id").cast("long"), "source", "text").mapInPandas(run, "doc_id long, source string, tokens long")
+    texts = spread(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text"), "doc_id")
+    return texts.mapInPandas(run, "doc_id long, source string, tokens long")

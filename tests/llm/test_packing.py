@@ -29,8 +29,8 @@ def test_plan_holds_everything(histogram):
         for s in sizes:
             held[s] += n
     assert held == Counter(histogram)
-    # no worse than the bound of first fit decreasing
-    assert sum(n for n, _ in runs) <= -(-sum(s * c for s, c in histogram.items()) // 100) * 11 / 9 * 1.3 + 2
+    # all containers but one are more than half full
+    assert sum(n for n, _ in runs) <= 2 * sum(s * c for s, c in histogram.items()) / 100 + 1
 
 
 def test_pack(spark):
