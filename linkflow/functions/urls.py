@@ -54,8 +54,11 @@ def strip_sessions(url: Column) -> Column:
 
 def cleanup(url: Column, remove_anchors: bool = True) -> Column:
     """``url`` up to its first ``#`` (if not empty then), without one trailing ``?`` or ``&``."""
-    cut = F.substring_index(url, "#", 1) if remove_anchors else url
-    return F.when(F.length(cut) == 0, url).otherwise(F.regexp_replace(cut, "[?&]$", ""))
+    if not remove_anchors:
+        return F.regexp_replace(url, "[?&]$", "")
+    # each step names its input once, so that a computed url is computed once
+    cut = F.regexp_replace(url, "(?s)^([^#]+)#.*$", "$1")
+    return F.regexp_replace(cut, "(?s)^([^#].*)?[?&]$", "$1")
 
 
 def ascii_only(text: Column) -> Column:
@@ -64,10 +67,27 @@ def ascii_only(text: Column) -> Column:
 
 
 def resolve(base: Column, link: Column) -> Column:
-    """``link`` against ``base``: links with ``://`` or a scheme stay; others join as RFC 3986 has it, without dot segments.
+    """``link`` against ``base`` as RFC 3986 has it; links with ``://`` or a scheme stay as they are."""
+    joined = _join(base, link)
+    return F.when(has_dots(link) & ~link.contains("://"), remove_dots(joined)).otherwise(joined)
+
+
+def remove_dots(url: Column) -> Column:
+    """``url`` with the dot segments of its path resolved; surplus ``..`` are dropped."""
+    origin = F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    rest = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^?#]*(.*)$", 1)
+    parts = F.split(path, "/")
+    kept = F.aggregate(
+        parts,
+        F.array().cast("array<string>"),
+        lambda acc, x: F.when(x == "..", F.when(F.size(acc) > 1, F.slice(acc, F.lit(1), F.size(acc) - 1)).otherwise(acc)).when(x == ".", acc).otherwise(F.array_append(acc, x)),
+    )
+    folder = F.when(F.element_at(parts, -1).isin(".", ".."), F.array_append(kept, F.lit(""))).otherwise(kept)
+    return F.concat(origin, F.array_join(folder, "/"), rest)
+
 
-    ``remove_dots`` (a Python function) follows for the few links that have dot segments.
-    """
+def _join(base: Column, link: Column) -> Column:
     origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
     path = F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
     folder = F.when(path == "", "/").otherwise(F.regexp_extract(path, r"^(.*/)[^/]*$", 1))

@@ -4,15 +4,14 @@ from __future__ import annotations
 
 import html.entities
 import re
-from urllib.parse import urljoin
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from linkflow.functions import http, urls
-from linkflow.session import header
+from linkflow.session import header, spread
 from linkflow.settings import Settings
 
 # The tag and link patterns, which give the links their meaning.
@@ -34,6 +33,7 @@ def pages(crawl_uris: DataFrame) -> DataFrame:
     ``html`` has ``?`` for characters outside ASCII, as links get it in any case.
     """
     kind, charset = http.content_type("rep_header", F.col("content_body"))
+    crawl_uris = spread(crawl_uris.select("fetch_id", "url", "effective_url", "rep_header", "content_body", "optional_vars"), "fetch_id")
     allowed = crawl_uris.where("content_body is not null and rep_header is not null").withColumn("_kind", kind).where(F.col("_kind").isin(*http.LINK_TYPES))
     finished = F.coalesce(F.try_element_at("optional_vars", F.lit("extraction_finished")), F.lit("")) == "1"
     robots = F.coalesce(F.col("effective_url"), F.col("url")).endswith("robots.txt")
@@ -48,11 +48,14 @@ def limiter(crawl_uris: DataFrame) -> DataFrame:
     return crawl_uris.withColumn("optional_vars", F.when(F.col("effective_url").endswith("robots.txt"), F.map_concat(own, flag)).otherwise(F.col("optional_vars")))
 
 
+def _found(max_element: int) -> Column:
+    return F.filter(F.regexp_extract_all("html", F.lit(TAG.replace("MAX", str(max_element))), F.lit(5)), lambda x: x != "")
+
+
 def tags(page: DataFrame, max_element: int = 64) -> DataFrame:
     """``fetch_id, url, pos, tag, element``: open tags with attributes, in order, without meta; ``pos`` counts from 0."""
-    found = F.filter(F.regexp_extract_all("html", F.lit(TAG.replace("MAX", str(max_element))), F.lit(5)), lambda x: x != "")
     return (
-        page.select("fetch_id", "url", F.posexplode(found).alias("pos", "tag"))
+        page.select("fetch_id", "url", F.posexplode(_found(max_element)).alias("pos", "tag"))
         .withColumn("element", F.lower(F.regexp_extract("tag", r"^(\w+)", 1)))
         .where("element <> 'meta'")
     )
@@ -76,62 +79,72 @@ def _unescape(text: str) -> str:
 
 @F.pandas_udf(StringType())
 def unescape(text: pd.Series) -> pd.Series:
-    """Entities decoded; unknown ones stay. Called only for tags that have an ``&``."""
+    """Entities decoded; unknown ones stay. Links use ``unescape_ascii``, which needs no Python."""
     return text.map(lambda t: t if t is None else _unescape(t))
 
 
-@F.pandas_udf(StringType())
-def join_url(base: pd.Series, link: pd.Series) -> pd.Series:
-    """RFC 3986 resolution, for links with dot segments."""
+#: Stands for any character outside ASCII, which links show as ``?``.
+_FOREIGN = "\u00a4"
 
-    def one(b, x):
-        try:
-            return urljoin(b, x)
-        except ValueError:
-            return None
 
-    return pd.Series([None if b is None or x is None else one(b, x) for b, x in zip(base, link, strict=True)], dtype=object)
+def unescape_ascii(text: Column) -> Column:
+    """Entities decoded without leaving the JVM: ASCII characters exactly, all others as one character outside ASCII; unknown ones stay."""
+    names = html.entities.name2codepoint
+    plain = F.create_map(*[F.lit(x) for n, c in names.items() if c < 128 for x in (n, chr(c))])
+    foreign = F.split(F.lit(",".join(n for n, c in names.items() if c >= 128)), ",")  # folded to one literal
 
+    def piece(x: Column) -> Column:
+        name = F.regexp_extract(x, r"^(#?\w+);", 1)
+        rest = F.substring(x, F.length(name) + 2, F.length(x))
+        code = F.when(name.rlike("^#[0-9]{1,7}$"), F.substring(name, F.lit(2), F.length(name)).try_cast("int")).when(
+            name.rlike("^#x[0-9A-Fa-f]{1,6}$"), F.conv(F.substring(name, F.lit(3), F.length(name)), 16, 10).try_cast("int")
+        )
+        known = F.when(code < 128, F.char(code)).when(code <= 0x10FFFF, F.lit(_FOREIGN))
+        char = F.coalesce(known, F.try_element_at(plain, name), F.when(F.array_contains(foreign, name), F.lit(_FOREIGN)))
+        return F.when((name != "") & char.isNotNull(), F.concat(char, rest)).otherwise(F.concat(F.lit("&"), x))
 
-def tag_links(tag: DataFrame) -> DataFrame:
-    """``tags`` with ``links``: quoted, non-empty href and src values; those with mailto: or javascript: are left out."""
-    plain = tag.withColumn("tag", F.when(F.col("tag").contains("&"), unescape("tag")).otherwise(F.col("tag")))
-    quoted = F.regexp_extract_all("tag", F.lit(LINK), F.lit(3))
+    parts = F.split(text, "&")
+    tail = F.transform(F.slice(parts, 2, F.size(parts)), piece)
+    return F.when(text.contains("&"), F.concat(F.get(parts, F.lit(0)), F.array_join(tail, ""))).otherwise(text)
+
+
+def tag_links(tag: Column) -> Column:
+    """Quoted, non-empty href and src values of a tag; those with mailto: or javascript: are left out."""
+    quoted = F.regexp_extract_all(unescape_ascii(tag), F.lit(LINK), F.lit(3))
     bare = F.transform(quoted, lambda x: F.substring(x, F.lit(2), F.length(x) - 2))
-    return plain.withColumn("links", F.filter(bare, lambda x: ~x.contains("mailto:") & ~x.contains("javascript:")))
+    return F.filter(bare, lambda x: ~x.contains("mailto:") & ~x.contains("javascript:"))
 
 
-def rebase(tag: DataFrame) -> DataFrame:
-    """``tag_links`` with ``base_url``: the last base element's link before the tag, else the page's url."""
-    before = Window.partitionBy("fetch_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    own = F.when(F.col("element") == "base", F.get("links", F.lit(0)))
-    return tag.withColumn("base_url", F.coalesce(F.last(own, ignorenulls=True).over(before), F.col("url")))
+def _based(found: Column, url: Column) -> Column:
+    """Each (pos, tag, element, base): the link of the last base element before it, else the page's url.
 
+    Only pages with a base element pay for the fold over their tags.
+    """
+    kind = "struct<base:string,out:array<struct<pos:int,tag:string,element:string,base:string>>>"
+    place = lambda t, base: F.struct(t.pos.alias("pos"), t.tag.alias("tag"), t.element.alias("element"), base.alias("base"))
+    start = F.struct(url.alias("base"), F.array().cast("array<struct<pos:int,tag:string,element:string,base:string>>").alias("out")).cast(kind)
 
-def _base_per_page(tag: DataFrame) -> DataFrame:
-    """Like ``rebase`` without a sort of pages that have no base element: they are the rule."""
-    based = tag.where("element = 'base'").select("fetch_id").distinct()
-    own = rebase(tag.join(based, "fetch_id", "left_semi"))
-    return tag.join(based, "fetch_id", "left_anti").withColumn("base_url", F.col("url")).unionByName(own)
+    def step(acc: Column, t: Column) -> Column:
+        own = F.when(t.element == "base", F.get(tag_links(t.tag), F.lit(0)))
+        return F.struct(F.coalesce(own, acc.base).alias("base"), F.array_append(acc.out, place(t, acc.base)).alias("out")).cast(kind)
 
+    folded = F.aggregate(found, start, step, lambda acc: acc.out)
+    return F.when(F.exists(found, lambda t: t.element == "base"), folded).otherwise(F.transform(found, lambda t: place(t, url)))
 
-def html_links(page: DataFrame, settings: Settings = Settings(), bases: bool = True) -> DataFrame:
-    """``fetch_id, url, pos, k, raw, link``: the links of ``a`` elements, resolved; ``pos`` and ``k`` give their order.
 
-    ``bases=False`` skips the search for base elements where pages have none.
-    """
-    wanted = tag_links(tags(page, settings.max_element).where(F.col("element").isin("a", "base")))
-    placed = _base_per_page(wanted) if bases else wanted.withColumn("base_url", F.col("url"))
-    one = placed.where("element = 'a'").select("fetch_id", "url", "pos", "base_url", F.posexplode("links").alias("k", "raw"))
-    joined = F.when(urls.has_dots(F.col("raw")) & ~F.col("raw").contains("://"), join_url("base_url", "raw")).otherwise(urls.resolve(F.col("base_url"), F.col("raw")))
-    return one.select("fetch_id", "url", "pos", "k", "raw", urls.ascii_only(joined).alias("link"))
+def html_links(page: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """``fetch_id, url, pos, k, raw, link``: the links of ``a`` elements, resolved; ``pos`` and ``k`` give their order."""
+    found = F.transform(_found(settings.max_element), lambda t, i: F.struct(i.alias("pos"), t.alias("tag"), F.lower(F.regexp_extract(t, r"^(\w+)", 1)).alias("element")))
+    wanted = F.filter(found, lambda t: t.element.isin("a", "base"))
+    one = page.select("fetch_id", "url", wanted.alias("_t")).select("fetch_id", "url", F.explode(_based(F.col("_t"), F.col("url"))).alias("t")).where("t.element = 'a'")
+    links = one.select("fetch_id", "url", "t.pos", "t.base", F.posexplode(tag_links(F.col("t.tag"))).alias("k", "raw"))
+    return links.select("fetch_id", "url", "pos", "k", urls.ascii_only(F.col("raw")).alias("raw"), urls.ascii_only(urls.resolve(F.col("base"), F.col("raw"))).alias("link"))
 
 
 def redirect_links(crawl_uris: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """``fetch_id, url, pos, k, raw, link``: the target of each 3xx record with a Location; ``pos`` is after all tags."""
     found = crawl_uris.where(F.col("status_code").between(300, 399)).withColumn("raw", header("rep_header", "location")).where("raw is not null")
-    joined = F.when(urls.has_dots(F.col("raw")) & ~F.col("raw").contains("://"), join_url("url", "raw")).otherwise(urls.resolve(F.col("url"), F.col("raw")))
-    out = found.select("fetch_id", "url", F.lit(2**30).alias("pos"), F.lit(0).alias("k"), "raw", joined.alias("link"))
+    out = found.select("fetch_id", "url", F.lit(2**30).alias("pos"), F.lit(0).alias("k"), "raw", urls.resolve(F.col("url"), F.col("raw")).alias("link"))
     return out.where(~F.col("link").isin(*settings.not_found_redirects)) if settings.not_found_redirects else out
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from linkflow.functions import http, schedule, urls
 from linkflow.operators.skew import salted_top
 from linkflow.schema import IGNORED
-from linkflow.session import header, small
+from linkflow.session import header, materialize, small
 from linkflow.settings import Settings
 
 
@@ -132,6 +132,7 @@ def add_queues(queues: DataFrame, identifiers: DataFrame) -> DataFrame:
     top = queues.agg(F.coalesce(F.max("queue"), F.lit(0)).alias("top")).first()["top"]
     new = identifiers.where("identifier is not null").select("identifier").distinct().join(queues.select("identifier"), "identifier", "left_anti")
     placed = new.repartitionByRange(F.col("identifier")).sortWithinPartitions("identifier").withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id() % F.lit(2**33))
+    placed = materialize(placed)  # the places are used twice
     counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_c"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_c").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")
     ids = placed.join(F.broadcast(before), "_part").select((F.lit(top) + F.col("_before") + F.col("_at") + 1).cast("long").alias("queue"), "identifier")  # a row per partition

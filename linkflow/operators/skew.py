@@ -95,5 +95,5 @@ def dominant_hosts(queues: DataFrame, queue_identifiers: DataFrame, share: float
 def next_urls(queues: DataFrame, queue_identifiers: DataFrame, now: int, n: int = 10) -> DataFrame:
     """``identifier, pos, url, next_date``: the ``n`` due urls of each site that were due first, ties by url; a url once per site."""
     due = queues.where((F.col("next_date") > 1000) & (F.col("next_date") <= now) & F.col("queue").isNotNull()).select("queue", "url", "next_date")
-    named = due.join(small(host_ids(queue_identifiers)), "queue").groupBy("identifier", "url").agg(F.min("next_date").alias("next_date"))
+    named = due.join(small(host_ids(queue_identifiers), 200_000), "queue").groupBy("identifier", "url").agg(F.min("next_date").alias("next_date"))
     return salted_top(named, "identifier", [F.col("next_date"), F.col("url")], n).select("identifier", "pos", "url", "next_date")

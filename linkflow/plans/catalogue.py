@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkflow.functions import http, schedule, urls
@@ -59,7 +59,7 @@ def _new_rows(s: SparkSession, d: str) -> DataFrame:
 
 def _seed(s: SparkSession, d: str) -> DataFrame:
     """New links of all pages, first 50 urls of each host; ``queue`` is the dense rank of the host."""
-    fresh = extract.new_links(extract.clean(extract.scope(_links(s, d), SCOPED), SCOPED)).select(urls.hostname(F.col("link")).alias("identifier"), F.col("link").alias("url")).where("identifier <> ''")
+    fresh = materialize(extract.new_links(extract.clean(extract.scope(_links(s, d), SCOPED), SCOPED)).select(urls.hostname(F.col("link")).alias("identifier"), F.col("link").alias("url")).where("identifier <> ''"))
     ids = frontier.add_queues(s.createDataFrame([], "queue long, identifier string"), fresh)
     top = skew.salted_top(fresh, "identifier", [F.col("url")], Settings().queue_budget)
     return top.join(ids, "identifier").select("queue", "identifier", "pos", "url")
@@ -100,7 +100,7 @@ def _weights(s: SparkSession, d: str) -> DataFrame:
 
 def _round_loop(s: SparkSession, d: str) -> DataFrame:
     """Three rounds over the crawl's own records as the web; ``url, queue, next_date, priority`` of the frontier after them."""
-    web = extract.Window.partitionBy("url").orderBy(F.col("fetch_id").desc())
+    web = Window.partitionBy("url").orderBy(F.col("fetch_id").desc())
     last = materialize(_crawl(s, d).withColumn("_n", F.row_number().over(web)).where("_n = 1").drop("_n"))
     settings = SCOPED.override(ready_limit=10_000)
     starts = materialize(last.where("status_code = 200").select("url", urls.hostname(F.col("url")).alias("identifier")))

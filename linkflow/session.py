@@ -65,6 +65,15 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if fits(df, rows) else df
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` on all cores before costly work per row, if its input has fewer pieces than there are cores.
+
+    That is so for small inputs only; larger ones are not shuffled. ``key``: a unique column.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def header(column: str, name: str) -> Column:
     """First value of a header in a ``map<string,string>`` column, whatever the case of its name; null if absent."""
     return F.expr(f"get(filter(map_entries({column}), e -> lower(e.key) = '{name.lower()}'), 0).value")
