@@ -151,12 +151,12 @@ def tag_signature(raw: str) -> str:
 
 
 class Line:
-    """A line with visible text: number, raw, text, open elements around it, its own elements, container."""
+    """A line with visible text: number, raw, text, open elements around it, its own elements, container, containers it opens as a paragraph."""
 
-    __slots__ = ("n", "raw", "text", "path", "own", "box")
+    __slots__ = ("n", "raw", "text", "path", "own", "box", "opens")
 
-    def __init__(self, n, raw, text, path, own, box):
-        self.n, self.raw, self.text, self.path, self.own, self.box = n, raw, text, path, own, box
+    def __init__(self, n, raw, text, path, own, box, opens=()):
+        self.n, self.raw, self.text, self.path, self.own, self.box, self.opens = n, raw, text, path, own, box, opens
 
 
 class Cache(dict):
@@ -193,7 +193,9 @@ def parse(text: str, see=look) -> tuple[list[Line], list[int], list[str]]:
     for n, raw in body_lines(text):
         seen, closed, opened, own = see(raw)
         if seen:
-            out.append(Line(n, raw, seen, path, own, stack[-1]))
+            # beside text and inline elements only, what stays open is a paragraph that goes on
+            goes_on = opened and all(o in INLINE or o in opened for o in own.split(">"))
+            out.append(Line(n, raw, seen, path, own, stack[-1], range(len(name), len(name) + len(opened)) if goes_on else ()))
         if closed or opened:
             for c in closed:
                 for k in range(len(stack) - 1, 0, -1):
@@ -215,13 +217,15 @@ FLOW = frozenset("ul ol li table tbody tr blockquote p dl dd dt figure".split())
 def main_block(lines: list[Line], parent: list[int], name: list[str]) -> tuple[int, list[Line]]:
     """Index of the headline (first h1 or h2; -1: none) and the lines after it in its container.
 
-    Lists, tables and quotations inside the container belong to it, boxes of their own do
-    not. Without a headline the container with most text is taken.
+    Lists, tables and quotations inside the container belong to it, and so do elements
+    that a line with text opens (a div used as a paragraph); boxes of their own do not.
+    Without a headline the container with most text is taken.
     """
     at = next((i for i, x in enumerate(lines) if x.own.startswith(("h1", "h2"))), -1)
+    paragraphs = {k for x in lines for k in x.opens}
 
     def home(box: int) -> int:
-        while name[box] in FLOW:
+        while name[box] in FLOW or box in paragraphs:
             box = parent[box]
         return box
 

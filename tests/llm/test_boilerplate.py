@@ -32,6 +32,15 @@ def test_article_of_a_page(crawl):
     assert sorted((r["fetch_id"], r["line_no"]) for r in got.collect()) == [(1, 10), (1, 13), (1, 15)]
 
 
+def test_paragraphs_over_lines(crawl):
+    head, rest = PAGE.split("<article>")
+    inner, foot = rest.split("</article>")
+    inner = inner.replace("<p>", "<div>").replace("</p>", "</div>").replace("but it did.</div>", "but it did.\nAccording to the council, at least 212 visitors saw how the bridge was painted.\nThe wheel was repaired after a long debate, said a spokesperson.</div>")
+    page = head + "<div>" + inner + "</div>" + foot
+    got = boilerplate.articles(crawl([("http://t.test/a", page)]))
+    assert sorted(r["line_no"] for r in got.collect()) == [10, 13, 14, 15, 17]
+
+
 def test_texts(crawl):
     got = {r["fetch_id"]: r for r in boilerplate.article_texts(parse_pages(crawl([("http://t.test/a", PAGE), ("http://t.test/b", "")]))).collect()}
     assert got[1]["n_lines"] == 3 and "wheel" in got[1]["text"] and got[2]["text"] == ""

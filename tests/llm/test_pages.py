@@ -42,6 +42,12 @@ def test_containers():
     assert pages.main_block([], [0], [""]) == (-1, [])
 
 
+def test_paragraphs_over_lines():
+    text = "<body>\n<div>\n<h1>T</h1>\n<div>one\ntwo <b>x</b>\nthree</div>\n<div>a <a href='/'>b</a>\nc</div>\n<div><h4>box</h4>\nnot\n</div>\n<div>\nnor this\n</div>\n</div>\n<div>out\nside</div>\n</body>"
+    at, block = pages.main_block(*pages.parse(text))
+    assert at == 0 and [x.text for x in block] == ["one", "two x", "three", "a b", "c", "box"]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(max_size=300))
 def test_parse_takes_any_text(text):

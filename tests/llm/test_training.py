@@ -9,6 +9,12 @@ def test_labels_of_leaves():
     assert [x.text for x, v in zip(lines, y, strict=True) if v] == ["Headline", "A first sentence of the article."]
 
 
+def test_labels_of_paragraphs_over_lines():
+    body = "<body>\n<div>\n<h1>Headline</h1>\n<div>A first sentence of the article.\nA second one.</div>\n</div>\n<p>out</p>\n</body>"
+    (lines, y), = training.label_leaves([("http://t.test/1", "t.test", None, body.encode())])
+    assert [x.text for x, v in zip(lines, y, strict=True) if v] == ["Headline", "A first sentence of the article.", "A second one."]
+
+
 def test_review_and_disguises():
     assert training.reviewed("DROP DEAD, you moron.") and training.reviewed("Dr​op dead, you.")
     assert not training.reviewed("The old mill was opened last spring.")
