@@ -39,8 +39,8 @@ SPACE, STOP, DIGIT, STAR, OTHER = 0, 27, 28, 29, 30
 CHUNK = 1_000_000
 #: Lengths below this count as this, so that short exclamations don't score by chance.
 LEAST = 12
-#: Symbols and stride of the windows of long sentences, and what a window's score must exceed.
-WINDOW, STRIDE, MARGIN = 60, 12, 0.2
+#: Symbols of the windows of long sentences, and what a window's score must exceed.
+WINDOW, MARGIN = 60, 0.2
 
 # Letters of other scripts and signs that stand for Latin ones.
 LOOKALIKE = {"а": "a", "в": "b", "с": "c", "е": "e", "һ": "h", "і": "i", "ј": "j", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "ѕ": "s", "т": "t", "у": "y", "х": "x", "α": "a", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ł": "l", "ø": "o", "đ": "d", "ı": "i", "ß": "s", "æ": "a", "œ": "o", "$": "s", "@": "a", "€": "e", "£": "l", "!": "!"}
@@ -229,8 +229,12 @@ class Scorer:
             table[f] += b * v / np.sqrt(n)
         self.table = table.astype(np.float32)
 
-    def sentences(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Score of each sentence of a text (positive: abusive) and the number of its document, in order."""
+    def sentences(self, text: str, windows: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Score of each sentence of a text (positive: abusive) and the number of its document, in order.
+
+        ``windows``: a long sentence also counts by its windows from every start to the one
+        that ends with it, as a lost mark may join an insult to harmless text.
+        """
         s, number, document = symbols(text)
         if not len(s):
             return np.zeros(0, np.float32), np.zeros(0, np.int64)
@@ -253,13 +257,13 @@ class Scorer:
             part[across[r]] = 0
             total[: len(x) - r] += part
         score = np.add.reduceat(total.astype(np.float64), np.cumsum(sizes) - sizes) / np.sqrt(np.maximum(sizes, LEAST)) + self.bias
-        # long sentences also by windows, as a lost mark may join an insult to harmless text
-        if len(x) > WINDOW:
+        long = np.flatnonzero(sizes >= WINDOW)
+        if windows and len(long):
             sums = np.concatenate(([0.0], np.cumsum(total, dtype=np.float64)))
-            start = np.arange(0, len(x) - WINDOW, STRIDE)
-            start = start[owner[start] == owner[start + WINDOW]]
-            part = (sums[start + WINDOW] - sums[start]) / np.sqrt(WINDOW) + self.bias - MARGIN
-            np.maximum.at(score, owner[start], part)
+            part = sums[WINDOW:] - sums[:-WINDOW]
+            part[owner[: len(part)] != owner[WINDOW - 1 :]] = -np.inf
+            best = np.maximum.reduceat(part, (np.cumsum(sizes) - sizes)[long])
+            score[long] = np.maximum(score[long], best / np.sqrt(WINDOW) + self.bias - MARGIN)
         return score.astype(np.float32), document[begin]
 
     def documents(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -273,7 +277,7 @@ class Scorer:
                 size += len(t)
             if group and (size > CHUNK or k == len(texts)):
                 joined = "".join([texts[g].replace(END_OF_TEXT, " ") + END_OF_TEXT for g in group])
-                s, d = self.sentences(joined)
+                s, d = self.sentences(joined, windows=True)
                 got = np.full(len(group), -np.inf)
                 np.maximum.at(got, d, s)
                 np.add.at(bad, np.array(group)[d[s > 0]], 1)

@@ -49,6 +49,34 @@ def test_scores_of_documents(spark):
     assert abuse.score_documents(docs.limit(0)).count() == 0
 
 
+JOINED = "At short notice the worker recovered and the quiet fetcher was requeued behind the old depot on Monday as the crowded harbour was painted again drop dead, you moron"
+
+
+def test_long_texts_score_alike_alone_and_behind_others():
+    scorer = abuse.load()
+    alone = scorer.documents([JOINED])[0][0]
+    for k in range(1, 30):
+        behind = scorer.documents(["xyz" * k, GOOD[3][:k], JOINED])[0][2]
+        assert abs(behind - alone) < 1e-4, k
+
+
+def test_insults_at_the_end_of_long_sentences():
+    scorer = abuse.load()
+    for k in range(24):
+        assert scorer.documents([JOINED[k:]])[1][0] == 1, k
+        assert scorer.documents([JOINED[k:].partition(" drop dead")[0]])[1][0] == 0, k
+
+
+def test_windows_are_those_of_one_sentence():
+    scorer = abuse.load()
+    harmless = JOINED.partition(" drop dead")[0]
+    whole = scorer.sentences(harmless, windows=True)[0][0]
+    for n in range(20, 90):
+        bad = ("drop dead, you moron " * 9)[:n].strip()
+        score, document = scorer.sentences(harmless + abuse.END_OF_TEXT + bad + abuse.END_OF_TEXT + "Fine.", windows=True)
+        assert abs(score[document == 0].max() - whole) < 1e-4, n
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.one_of(st.none(), st.text(max_size=120)), max_size=6))
 def test_any_texts(texts):
