@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from linkflow.llm.pages import charset_of, codec_of, decode, html_pages
 
-#: Charsets that UTF-8 text was read in, one state each; "cp1252" has control characters where the charset has none.
+#: Charsets that UTF-8 text was read in, one state each; where a charset lacks a byte, the control character of its number stands for it.
 PAIRS = ("cp1252", "latin-1", "iso8859-15", "cp1250", "cp1251", "cp437", "cp850", "mac_roman")
 ROUNDS = 3
 LOST = "�"
@@ -41,11 +41,12 @@ _LETTER, _SYMBOL, _CONTROL, _NEXT = math.log(0.3), math.log(0.05), math.log(1e-4
 
 @lru_cache(4096)
 def _byte(char: str, pair: str) -> int:
-    """Byte of a character in a charset, -1 if it has none."""
+    """Byte of a character in a charset, -1 if it has none; a control character is the byte that the charset lacks, as ``decode`` reads it."""
     try:
         return char.encode(pair)[0]
     except UnicodeEncodeError:
-        return ord(char) if pair == "cp1252" and 0x80 <= ord(char) <= 0x9F else -1
+        k = ord(char)
+        return k if 0x80 <= k <= 0x9F and (pair == "cp1252" or bytes([k]).decode(pair, "linkflow-latin") == char) else -1
 
 
 def _bytes(run: str, pair: str) -> bytes | None:

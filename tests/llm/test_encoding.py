@@ -37,6 +37,22 @@ def test_round_trip(text, pair, times):
         assert encoding.restore(bad)[0] == text
 
 
+@pytest.mark.parametrize("text", ["Łagodna książka została pokazana, późną jesienią", "SÃO PAULO: a informação em frente à igreja não foi incluída", "Łódź, Ňufáček и ярко, „Да“", "Иван Иванович жил у реки, и сад"])
+@pytest.mark.parametrize("pair", ["cp1250", "cp1251", "cp1252"])
+@pytest.mark.parametrize("times", [1, 2])
+def test_round_trip_of_bytes_that_the_charset_lacks(text, pair, times):
+    bad = text
+    for _ in range(times):
+        bad = bad.encode().decode(pair, "linkflow-latin")
+    assert encoding.damaged(bad)
+    assert encoding.restore(bad)[0] == text
+
+
+@pytest.mark.parametrize("run", ["Ĺ\x81", "Ä‚Â§Ä‚Ĺ\x81", "Ä‚Ĺ\x81"])
+def test_lacking_bytes_of_cp1250_have_an_inverse(run):
+    assert encoding.invert(run, "cp1250") is not None and encoding.invert("\x81", "cp437") is None
+
+
 def test_part_of_a_text():
     got = encoding.restore("Größe und Ã¼bergroÃŸ, ganz normal")
     assert got[0] == "Größe und übergroß, ganz normal" and got[1] == 2
