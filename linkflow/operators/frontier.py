@@ -220,7 +220,7 @@ def rotate(state: DataFrame, active: DataFrame, settings: Settings = Settings(),
 
 
 def ready_set(frontier: DataFrame, state: DataFrame, now: int, settings: Settings = Settings(), in_flight: DataFrame | None = None) -> DataFrame:
-    """Rows to fetch now: of every queue that may work the row due first, up to ``ready_limit`` in order of dates.
+    """Rows to fetch now: of every queue that may work the row due first, up to ``ready_limit`` in order of dates (all without a limit).
 
     A queue may work if its budget is left, its rest is over and it has nothing in the heap.
     Urls in flight are taken out before the choice, so they cannot block a queue.
@@ -230,7 +230,7 @@ def ready_set(frontier: DataFrame, state: DataFrame, now: int, settings: Setting
     if in_flight is not None:
         due = due.join(in_flight.select("url"), "url", "left_anti")
     first = queue_heads(due.join(free, "queue", "left_semi"), 1).drop("pos")
-    return first.orderBy("next_date", "url").limit(settings.ready_limit)
+    return first if settings.ready_limit is None else first.orderBy("next_date", "url").limit(settings.ready_limit)
 
 
 def transition(frontier: DataFrame, fetched: DataFrame, now: int, settings: Settings = Settings()) -> DataFrame:

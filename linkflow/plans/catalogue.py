@@ -102,7 +102,7 @@ def _round_loop(s: SparkSession, d: str) -> DataFrame:
     """Three rounds over the crawl's own records as the web; ``url, queue, next_date, priority`` of the frontier after them."""
     web = Window.partitionBy("url").orderBy(F.col("fetch_id").desc())
     last = materialize(_crawl(s, d).withColumn("_n", F.row_number().over(web)).where("_n = 1").drop("_n"))
-    settings = SCOPED.override(ready_limit=10_000)
+    settings = SCOPED.override(ready_limit=None)
     starts = materialize(last.where("status_code = 200").select("url", urls.hostname(F.col("url")).alias("identifier")))
     queues = materialize(frontier.add_queues(s.createDataFrame([], "queue long, identifier string"), starts))
     none = F.lit(None)

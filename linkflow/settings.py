@@ -20,7 +20,8 @@ class Settings:
     static_dns: tuple[tuple[str, tuple[str, int]], ...] = ()
     mode: str = "multi"
     tick_seconds: int = 60
-    ready_limit: int = 500
+    #: Urls of a ready set; None: one of every queue that may work.
+    ready_limit: int | None = 500
     crawl_delay_factor: float = 4.0
     min_delay: float = 5.0
     active_queues: int = 100

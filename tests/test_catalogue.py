@@ -2,8 +2,11 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from linkflow.operators import frontier
+from linkflow.plans import catalogue
 
 
 @pytest.fixture(scope="module")
@@ -38,3 +41,18 @@ def test_entry(spark):
 def test_every_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert {"p2_found", "p4_found"} <= set(entry.queries())
+
+
+def test_rounds_leave_no_due_host_out(spark, data, tmp_path, monkeypatch):
+    schema = spark.read.parquet(f"{data}/crawl_uris.parquet").schema
+    own = {"fetch_id": F.col("id"), "url": F.concat(F.lit("http://h"), F.col("id").cast("string"), F.lit(".test/")), "status_code": F.lit(200)}
+    spark.range(10_050).select([own.get(c.name, F.lit(None)).cast(c.dataType).alias(c.name) for c in schema]).write.parquet(f"{tmp_path}/crawl_uris.parquet")
+    ready = []
+
+    def one_round(at, queues, state, fetch, links, now, settings, dns):
+        ready.append(frontier.ready_set(at, state, now, settings).count())
+        return at, queues, state, 0
+
+    monkeypatch.setattr(catalogue.rounds, "crawl_round", one_round)
+    catalogue.queries()["round_loop"](spark, str(tmp_path))
+    assert ready == [10_050]
