@@ -8,15 +8,18 @@ models see one page, or one sentence, only.
 
 from __future__ import annotations
 
+import json
 import random
 import re
+import sys
 import unicodedata
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 
 from linkflow.llm import abuse, boilerplate, spam
-from linkflow.llm.pages import charset_of, codec_of, decode, main_block, parse, visible
+from linkflow.llm.pages import HTML_TYPES, charset_of, codec_of, decode, main_block, parse, visible
 from linkflow.llm.repeats import letters
 
 #: Bounds of the samples.
@@ -171,12 +174,36 @@ def disguise(sentence: str, rng: random.Random) -> str:
     return " ".join(words)
 
 
-def train_abuse(texts: list[str], rounds: int = 2, seed: int = 4) -> dict:
-    """Model of the scorer from texts: reviewed sentences and their disguises against harmless ones, the best-scoring harmless added in rounds."""
+def settled(verdicts: dict[int, list[str]], least: int = 2) -> dict[int, bool]:
+    """Documents on which at least ``least`` reviewers agree: True if all call it bad, False if all call it clean.
+
+    Single reviewers err too often (about one in twenty) to overrule the review of the sentence forms.
+    """
+    out = {}
+    for doc, given in verdicts.items():
+        bad = [v != "clean" for v in given if v]
+        if len(bad) >= least and len(set(bad)) == 1:
+            out[doc] = bad[0]
+    return out
+
+
+def train_abuse(docs: dict[int, str | None], verdicts: dict[int, list[str]] | None = None, rounds: int = 2, seed: int = 4) -> dict:
+    """Model of the scorer from documents and the verdicts of their reviewers (``doc_id`` to verdicts).
+
+    Bad: sentences of reviewed forms, unless reviewers agree that the document is clean,
+    their disguises, and the worst sentence of each document that reviewers agree is bad
+    but that has no such sentence. Harmless: a sample of the others (``SENTENCES``), the
+    best-scoring of which are added in rounds.
+    """
     rng = random.Random(seed)
-    every = list(dict.fromkeys(x.strip() for t in texts if t for x in SPLIT.split(t) if len(x.strip()) > 2))
-    bad = [x for x in every if reviewed(x)]
-    good = [x for x in every if not reviewed(x)]
+    agreed = settled(verdicts or {})
+    cut = {k: [x.strip() for x in SPLIT.split(t) if len(x.strip()) > 2] for k, t in sorted(docs.items()) if t}
+    every = list(dict.fromkeys(x for xs in cut.values() for x in xs))
+    clean = {x for k, xs in cut.items() if agreed.get(k) is False for x in xs}
+    bad = [x for x in every if reviewed(x) and x not in clean]
+    good = [x for x in every if not reviewed(x) or x in clean]
+    known = set(bad)
+    open_ = [xs for k, xs in cut.items() if agreed.get(k) and xs and not known & set(xs)]
     yes = bad + [disguise(x, rng) for x in bad]
     no = rng.sample(good, min(SENTENCES, len(good)))
     no += [x[j : j + abuse.WINDOW] for x in no[: SENTENCES // 3] if len(x) > 80 for j in [rng.randrange(0, len(x) - abuse.WINDOW)]]
@@ -185,7 +212,44 @@ def train_abuse(texts: list[str], rounds: int = 2, seed: int = 4) -> dict:
         y = np.array([1] * len(yes) + [-1] * len(no))
         model = abuse.fit(yes + no, y, marks, np.where(y > 0, 2.0, 1.0))
         if step < rounds:
-            score, _ = abuse.Scorer(model).documents(good)
-            worst = [good[i] for i in np.argsort(-score)[:600]]
+            scorer = abuse.Scorer(model)
+            yes += [xs[int(np.argmax(scorer.documents(xs)[0]))] for xs in open_]
+            added = set(yes)
+            rest = [x for x in good if x not in added]
+            score, _ = scorer.documents(rest)
+            worst = [rest[i] for i in np.argsort(-score, kind="stable")[:600]]
+            no = [x for x in no if x not in added]
             no += worst + [x[j : j + abuse.WINDOW] for x in worst[:300] for j in range(0, max(1, len(x) - abuse.WINDOW + 1), 15)]
-    return model
+    return {"landmarks": model["landmarks"], "beta": [float(f"{b:.6g}") for b in model["beta"]], "bias": float(f"{model['bias']:.6g}")}
+
+
+def main(kind: str, folder: str, out: str) -> None:
+    """Write ``abuse.json`` or ``boilerplate.npz`` as trained on the tables of a folder: ``python -m linkflow.llm.training abuse FOLDER OUT``."""
+    if kind == "abuse":
+        docs = pd.read_parquet(f"{folder}/documents.parquet")
+        reviews = pd.read_parquet(f"{folder}/review_labels.parquet").groupby("doc_id")["verdict"].agg(list).to_dict()
+        with open(out, "w") as f:
+            json.dump(train_abuse(dict(zip(docs["doc_id"], docs["text"], strict=True)), reviews), f, ensure_ascii=False, indent=0)
+            f.write("\n")
+    elif kind == "boilerplate":
+        weights = train_boilerplate(crawl_pages(pd.read_parquet(f"{folder}/crawl_uris.parquet")))
+        np.savez_compressed(out, **{k: v.astype(np.float16) for k, v in weights.items()})
+    else:
+        raise ValueError(f"unknown model: {kind}")
+
+
+def crawl_pages(crawl_uris: pd.DataFrame) -> list[tuple[str, str, str | None, bytes]]:
+    """HTML pages of a table in order of arrival, as ``label_leaves`` takes them."""
+    out = []
+    for r in crawl_uris.sort_values("fetch_id").itertuples():
+        heads = {k.lower(): v for k, v in (r.rep_header or ())} if r.rep_header is not None else {}
+        kind = heads.get("content-type") or ""
+        if r.status_code == 200 and r.content_body is not None and kind.split(";")[0].strip().lower() in HTML_TYPES:
+            charset = re.search(r"(?i)charset\s*=\s*[\"']?([^\s;\"']+)", kind)
+            site = re.sub(r"\.$", "", re.match(r"[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^:/?#]*)", r.url).group(1).lower())
+            out.append((r.url, site, charset.group(1).lower() if charset else None, r.content_body))
+    return out
+
+
+if __name__ == "__main__":
+    main(*sys.argv[1:4])

@@ -77,6 +77,16 @@ def test_windows_are_those_of_one_sentence():
         assert abs(score[document == 0].max() - whole) < 1e-4, n
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="abcdeiou tsrn", min_size=200, max_size=2000), min_size=1, max_size=4), st.integers(0, 90))
+def test_long_sentences_score_alike_in_any_batch(texts, lead):
+    scorer = test_any_texts.scorer = getattr(test_any_texts, "scorer", None) or abuse.load()
+    score, bad = scorer.documents(["x" * lead, *texts, *texts])
+    alone = [scorer.documents([t]) for t in texts]
+    assert np.allclose(score[1:], [a[0][0] for a in alone] * 2, atol=1e-5)
+    assert bad[1:].tolist() == [a[1][0] for a in alone] * 2
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.one_of(st.none(), st.text(max_size=120)), max_size=6))
 def test_any_texts(texts):

@@ -25,6 +25,16 @@ def test_review_and_disguises():
 def test_training_separates():
     good = [f"The old mill number {k} was opened at the crossroads last spring." for k in range(60)]
     bad = ["Drop dead, you moron.", "Piss off, Town.", "Fuck off Town, you useless clown.", "Shut your mouth, Town, you useless clown."]
-    model = training.train_abuse([*good, *bad], rounds=1)
+    model = training.train_abuse(dict(enumerate([*good, *bad])), rounds=1)
+    assert model == training.train_abuse(dict(enumerate([*good, *bad])), rounds=1)
     score, _ = abuse.Scorer(model).documents([*bad, *good])
     assert (score[:4] > 0).all() and (score[4:] < 0).all()
+
+
+def test_reviewers_who_agree_overrule_the_forms():
+    assert training.settled({1: ["clean", "clean"], 2: ["abusive"], 3: ["hateful", "sexual"], 4: ["clean", "abusive"], 5: ["clean", "clean", None]}) == {1: False, 3: True, 5: False}
+    good = [f"The old mill number {k} was opened at the crossroads last spring." for k in range(60)]
+    docs = dict(enumerate([*good, "Drop dead, you moron.", "Piss off, Town.", "Fuck off Town, you useless clown.", "Gwyrl vrosk you utter znarf.", "What a bullshit."]))
+    model = training.train_abuse(docs, {63: ["abusive", "abusive"], 64: ["clean", "clean"]}, rounds=1)
+    score, _ = abuse.Scorer(model).documents([docs[60], docs[63], docs[64], docs[0]])
+    assert (score[:2] > 0).all() and (score[2:] < 0).all()
