@@ -11,7 +11,9 @@ null ("unreadable").
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import lru_cache
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkflow.session import site, small
@@ -19,12 +21,22 @@ from linkflow.session import site, small
 #: Instants are read within these years (UTC), as epoch seconds: from 2000 up to, not including, 2030.
 FIRST, END = 946_684_800, 1_893_456_000
 
-# Names of months and offsets of zone abbreviations in minutes.
-MONTHS = {
-    "jan": 1, "feb": 2, "fev": 2, "fév": 2, "mar": 3, "mär": 3, "mae": 3, "mrz": 3, "apr": 4, "avr": 4, "abr": 4,
-    "may": 5, "mai": 5, "jun": 6, "jul": 7, "aug": 8, "ago": 8, "aoû": 8, "sep": 9, "set": 9, "oct": 10, "okt": 10,
-    "out": 10, "nov": 11, "dec": 12, "dez": 12, "dic": 12, "déc": 12, "ene": 1,
-}
+# Names of months (en, de, fr, es, pt, it, pl; full, short and inflected) and offsets of zone abbreviations in minutes.
+MONTH_NAMES = {
+    1: "jan january januar jänner janvier janv enero ene janeiro gennaio gen styczeń stycznia sty",
+    2: "feb february februar février fév fevr févr fevrier febrero fevereiro fev febbraio luty lutego lut",
+    3: "mar march märz mär maerz mrz mars marzo março marco marzec marca",
+    4: "apr april avril avr abril abr aprile kwiecień kwietnia kwi",
+    5: "may mai mayo maio maggio mag maj maja",
+    6: "jun june juni juin junio junho giugno giu czerwiec czerwca cze",
+    7: "jul july juli juillet juil julio julho luglio lug lipiec lipca lip",
+    8: "aug august août aoû aout agosto ago sierpień sierpnia sie",
+    9: "sep sept september septembre septiembre setembro set settembre wrzesień września wrz",
+    10: "oct october oktober okt octobre octubre outubro out ottobre ott październik października paź",
+    11: "nov november novembre noviembre novembro listopad listopada lis",
+    12: "dec december dezember dez décembre déc decembre diciembre dic dezembro dicembre grudzień grudnia gru",
+}
+MONTHS = {name: k for k, names in MONTH_NAMES.items() for name in names.split()}
 ZONES = {
     "gmt": 0, "utc": 0, "ut": 0, "z": 0, "wet": 0, "west": 60, "bst": 60, "cet": 60, "mez": 60, "cest": 120, "mesz": 120,
     "eet": 120, "eest": 180, "msk": 180, "jst": 540, "aest": 600, "aedt": 660, "nzst": 720, "nzdt": 780,
@@ -37,8 +49,8 @@ USUAL_NUMBER = r"^[0-9]{10}$"
 
 _CLOCK = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,9}))?)?(?:\s*([ap])\.?m\.?)?(?:\s+(?:uhr|h))?"
 _ZONE = r"\s*([+-]\d{2}:?\d{2}|[a-z]{1,4})?(?:\s*\[([a-z0-9_+/-]+)\])?"
-_NAME = r"([a-zà-ÿ]{3,9})\.?"
-_DAY = r"(?:[a-zà-ÿ]{2,10}\.?,?\s+)?"
+_NAME = r"([a-zà-ÿčśźżńłęą]{3,12})\.?"
+_DAY = r"(?:[a-zà-ÿśź-]{2,14}\.?,?\s+)?"
 #: (pattern, order of its groups as year, month, day); the groups after the date are hour, minute, second, fraction, a/p, offset, region.
 CASCADE = (
     (rf"^(\d{{4}})-(\d{{1,2}})-(\d{{1,2}})(?:t|\s+){_CLOCK}{_ZONE}$", "$1|$2|$3"),
@@ -47,7 +59,7 @@ CASCADE = (
     (rf"^{_DAY}(\d{{1,2}})\.(\d{{1,2}})\.(\d{{4}}),?\s+{_CLOCK}{_ZONE}$", "$3|$2|$1"),
 )
 #: asctime has the year last, compact ISO has no separators.
-ASCTIME = rf"^(?:[a-zà-ÿ]{{2,10}}\.?,?\s+){_NAME}\s+(\d{{1,2}})\s+(\d{{1,2}}):(\d{{2}})(?::(\d{{2}}))?(?:\s+([a-z]{{1,4}}))?\s+(\d{{4}})$"
+ASCTIME = rf"^(?:[a-zà-ÿśź-]{{2,14}}\.?,?\s+){_NAME}\s+(\d{{1,2}})\s+(\d{{1,2}}):(\d{{2}})(?::(\d{{2}}))?(?:\s+([a-z]{{1,4}}))?\s+(\d{{4}})$"
 COMPACT = r"^(\d{4})(\d{2})(\d{2})t?(?:(\d{2})(\d{2})(\d{2})?)?(?:[.,](\d{1,9}))?" + _ZONE + "$"
 NUMBER = r"^[0-9]{1,19}([.][0-9]{1,9})?$"
 DATE_ONLY = (
@@ -58,6 +70,28 @@ DATE_ONLY = (
 )
 
 
+#: Offsets beyond this many minutes are no offsets.
+FARTHEST = 18 * 60
+
+
+@lru_cache(1)
+def _zone_names(jvm) -> tuple[str, ...]:
+    return tuple(sorted(jvm.java.time.ZoneId.getAvailableZoneIds()))
+
+
+def zone_names(spark: SparkSession) -> dict[str, str]:
+    """Names of the zones that this JVM knows, by their lower-case form; a name that is not among them never reaches a date function."""
+    return {n.lower(): n for n in _zone_names(spark.sparkContext._jvm)}
+
+
+def known_zone(name: Column, names: dict[str, str]) -> Column:
+    """``name`` in the spelling of the list, case aside; null if it is not listed."""
+    key = F.lower(F.trim(name))
+    # one literal string, split at each use by a folded expression
+    listed = F.map_from_arrays(F.split(F.lit(",".join(names)), ","), F.split(F.lit(",".join(names.values())), ","))
+    return F.try_element_at(listed, key)
+
+
 def _lookup(values: dict[str, int], key: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), key)
 
@@ -67,26 +101,30 @@ def _let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _wall(part: Column, zone: Column) -> Column:
-    """Milliseconds from canonical fields: year, month, day, hour, minute, second, fraction, a/p, offset, region."""
+def _wall(part: Column, zone: Column, names: dict[str, str]) -> Column:
+    """Milliseconds from canonical fields: year, month, day, hour, minute, second, fraction, a/p, offset, region.
+
+    ``zone`` is a known name or null. A region that is not a known name, and an offset
+    beyond 18 hours, make the value unreadable.
+    """
     at = lambda i: F.get(part, F.lit(i))
     whole = lambda i: F.when(at(i) == "", F.lit(0)).otherwise(at(i).try_cast("int"))
     year = whole(0)
     year = F.when(F.length(at(0)) == 2, year + F.when(year < 70, 2000).otherwise(1900)).otherwise(year)
-    month = F.coalesce(at(1).try_cast("int"), _lookup(MONTHS, F.substring(at(1), 1, 3)))
+    month = F.coalesce(at(1).try_cast("int"), _lookup(MONTHS, at(1)))
     hour = F.when(at(7) == "", whole(3)).when(whole(3).between(1, 12), whole(3) % 12 + F.when(at(7) == "p", 12).otherwise(0))
     named = at(8)
     digits = F.regexp_replace(named, "[^0-9]", "")
     minutes = F.substring(digits, 1, 2).try_cast("int") * 60 + F.substring(digits, 3, 2).try_cast("int")
-    offset = F.when(named.rlike("^[+]"), minutes).when(named.startswith("-"), -minutes).otherwise(_lookup(ZONES, named))
-    # a region counts only without an offset; its name comes in lower case
-    region = F.when(at(9).isin("utc", "gmt", "z", "etc/utc"), F.lit("UTC")).when(
-        at(9).contains("/"), F.concat(F.initcap(F.substring_index(at(9), "/", 1)), F.lit("/"), F.replace(F.initcap(F.replace(F.substring_index(at(9), "/", -1), F.lit("_"), F.lit(" "))), F.lit(" "), F.lit("_")))
-    )
-    wall_zone = F.when(named == "", F.coalesce(region, zone, F.lit("UTC"))).otherwise(F.lit("UTC"))
+    size = F.when((minutes <= FARTHEST) & (F.substring(digits, 3, 2).try_cast("int") < 60), minutes)
+    offset = F.when(named.rlike("^[+]"), size).when(named.startswith("-"), -size).otherwise(_lookup(ZONES, named))
+    # a region counts only without an offset, but must be known in any case; its name comes in lower case
+    region = F.when(at(9).isin("utc", "gmt", "z", "etc/utc"), F.lit("UTC")).when(at(9).contains("/"), known_zone(at(9), names))
+    readable = (at(9) == "") | region.isNotNull()
+    wall_zone = F.when((named == "") & readable, F.coalesce(region, zone, F.lit("UTC"))).otherwise(F.lit("UTC"))
     stamp = F.try_make_timestamp(year, month, at(2).try_cast("int"), hour, whole(4), whole(5).cast("decimal(16,6)"), wall_zone)
     millis = F.unix_millis(stamp) - F.coalesce(offset, F.lit(0)).cast("long") * 60_000 + F.rpad(at(6), 3, "0").try_cast("long")
-    return F.when(((named == "") | offset.isNotNull()) & (whole(5) < 60), millis)
+    return F.when(readable & ((named == "") | offset.isNotNull()) & (whole(5) < 60), millis)
 
 
 def _counted(number: Column) -> Column:
@@ -102,10 +140,10 @@ def _counted(number: Column) -> Column:
     )
 
 
-def utc_millis(value: Column, zone: Column) -> Column:
+def utc_millis(value: Column, zone: Column, names: dict[str, str]) -> Column:
     """Milliseconds since 1970 UTC that ``value`` (string) names, null if it names none in 2000-2029.
 
-    ``zone``: IANA name for values without a zone; null means UTC.
+    ``zone``: IANA name for values without a zone, one of ``names`` (``zone_names``); null means UTC.
     """
     forms = [(p, f"{d}|$4|$5|$6|$7|$8|$9|$10") for p, d in CASCADE]
     forms += [(ASCTIME, "$7|$1|$2|$3|$4|$5|||$6|"), (COMPACT, "$1|$2|$3|$4|$5|$6|$7||$8|$9")]
@@ -115,7 +153,7 @@ def utc_millis(value: Column, zone: Column) -> Column:
         text = F.lit(None).cast("string")
         for pattern, to in reversed(forms):
             text = F.when(v.rlike(pattern), F.regexp_replace(v, pattern, to)).otherwise(text)
-        spelt = _let(F.split(text, r"\|", 10), lambda part: _wall(part, zone))
+        spelt = _let(F.split(text, r"\|", 10), lambda part: _wall(part, zone, names))
         return F.coalesce(F.when(v.rlike(NUMBER), _counted(v)), spelt)
 
     got = _let(F.lower(F.trim(F.regexp_replace(value, r"[\s\u00a0]+", " "))), read)
@@ -127,13 +165,16 @@ def normalize_timestamps(values: DataFrame, zones: DataFrame, value: str, url: s
 
     values: any table with a string column ``value`` and a url column ``url``.
     zones: ``identifier, zone`` per site; a site's smallest zone counts if it is listed
-    twice. It is broadcast after a check of its size. A site that is not listed is UTC.
+    twice, and a zone that no list has counts as not listed. It is broadcast after a check
+    of its size. A site that is not listed is UTC.
     """
+    names = zone_names(values.sparkSession)
+    zones = zones.withColumn("zone", known_zone(F.col("zone"), names))
     z = zones.where("identifier is not null and zone is not null").groupBy(site(F.concat(F.lit("http://"), "identifier")).alias("_tz_site")).agg(F.min("zone").alias("_tz"))
     return (
         values.withColumn("_tz_site", site(F.col(url)))
         .join(small(z), "_tz_site", "left")
-        .withColumn(out, utc_millis(F.col(value), F.col("_tz")))
+        .withColumn(out, utc_millis(F.col(value), F.col("_tz"), names))
         .drop("_tz_site", "_tz")
     )
 

@@ -6,7 +6,7 @@ import pytest
 from linkflow.operators.timestamps import crawl_timestamps, normalize_timestamps, unusual_timestamps
 from linkflow.session import table
 
-ZONES = [("a.test", "Europe/Berlin"), ("b.test", "America/New_York"), ("c.test", "Australia/Sydney")]
+ZONES = [("bad.test", "Mars/Olympus"), ("lower.test", "europe/berlin"), ("a.test", "Europe/Berlin"), ("b.test", "America/New_York"), ("c.test", "Australia/Sydney")]
 
 
 def ms(*a, zone=timezone.utc):
@@ -56,6 +56,29 @@ CASES = [
     ("2030-01-01T00:00:00Z", "x.test", None),
     ("13/25/2024 10:00 AM UTC", "x.test", None),
     (None, "x.test", None),
+    # zones: names that exist in any case, three parts and hyphens; names that do not exist
+    ("2024-06-16T21:13:57[america/port-au-prince]", "x.test", ms(2024, 6, 17, 1, 13, 57)),
+    ("2024-06-16T21:13:57[America/Indiana/Knox]", "x.test", ms(2024, 6, 17, 2, 13, 57)),
+    ("2024-06-16T21:13:57[Europe/Nowhere]", "x.test", None),
+    ("2024-06-16T21:13:57+02:00[Europe/Nowhere]", "x.test", None),
+    ("2024-06-16T21:13:57[//]", "x.test", None),
+    ("2024-06-16T21:13:57", "bad.test", ms(2024, 6, 16, 21, 13, 57)),
+    ("2024-06-16T21:13:57", "lower.test", ms(2024, 6, 16, 19, 13, 57)),
+    # offsets
+    ("2024-06-16T21:13:57+18:00", "x.test", ms(2024, 6, 16, 3, 13, 57)),
+    ("2024-06-16T21:13:57+18:01", "x.test", None),
+    ("2024-06-16T21:13:57+25:00", "x.test", None),
+    ("2024-06-16T21:13:57-0199", "x.test", None),
+    # months of seven languages
+    ("3 juin 2022 06:42", "x.test", ms(2022, 6, 3, 6, 42)),
+    ("14 juillet 2022 06:42", "x.test", ms(2022, 7, 14, 6, 42)),
+    ("15 aout 2022 06:42", "x.test", ms(2022, 8, 15, 6, 42)),
+    ("2 giugno 2022 06:42", "x.test", ms(2022, 6, 2, 6, 42)),
+    ("5 paź 2022 06:42", "x.test", ms(2022, 10, 5, 6, 42)),
+    ("5 października 2022 06:42", "x.test", ms(2022, 10, 5, 6, 42)),
+    ("terça-feira, 5 março 2024 06:42", "x.test", ms(2024, 3, 5, 6, 42)),
+    ("5 marmalade 2022 06:42", "x.test", None),
+    ("5 junk 2022 06:42", "x.test", None),
 ]
 
 
