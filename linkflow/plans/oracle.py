@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from linkflow.functions.http import LINK_TYPES
 from linkflow.operators.extract import LINK, TAG
+from linkflow.operators.timestamps import MONTHS, ZONES
 
 #: The time at which queries look at the frontier; operators never read the clock.
 NOW = 1_737_000_000
@@ -127,11 +128,78 @@ DNS = "(VALUES ('www.felgorma.co.example:80', '127.0.0.1', 8080), ('blog.dotra.d
 PORT = f"coalesce(try_cast(nullif(regexp_extract(regexp_extract(url, {AUTH_RE}, 1), ':(\\d{{1,5}})$', 1), '') AS BIGINT), CASE lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) WHEN 'http' THEN 80 WHEN 'https' THEN 443 WHEN 'ftp' THEN 21 WHEN 'ftps' THEN 990 WHEN 'sftp' THEN 115 END)"
 LAST = "(SELECT * FROM result QUALIFY row_number() OVER (PARTITION BY url ORDER BY fetch_id DESC) = 1)"
 
+# Timestamps, written apart from the operator's patterns: forms as (pattern, place of year, month, day, hour, minute, second, fraction, a/p, zone).
+_T = r"(\d\d?):(\d\d)(?::(\d\d)(?:[.,](\d{1,9}))?)?(?: ?(am|pm|a\.m\.|p\.m\.))?(?: uhr| h)?(?: ?([+-]\d\d:?\d\d|[a-z]{1,4}))?(?: ?\[[a-z0-9_+/-]+\])?"
+_W = r"[^\d\s.,:\[\]/]+"
+FORMS = (
+    (rf"(\d{{4}})-(\d\d?)-(\d\d?)(?: |t){_T}", "1 2 3 4 5 6 7 8 9"),
+    (rf"(?:{_W}[.]?,? )?(\d\d?)[ -]({_W})[.]?[ -](\d\d|\d{{4}}) {_T}", "3 2 1 4 5 6 7 8 9"),
+    (rf"(\d\d?)/(\d\d?)/(\d{{4}}),? {_T}", "3 1 2 4 5 6 7 8 9"),
+    (rf"(?:{_W}[.]?,? )?(\d\d?)[.](\d\d?)[.](\d{{4}}),? {_T}", "3 2 1 4 5 6 7 8 9"),
+    (rf"{_W}[.]?,? ({_W})[.]? (\d\d?) (\d\d?):(\d\d)(?::(\d\d))?(?: ([a-z]{{1,4}}))? (\d{{4}})", "7 1 2 3 4 5 - - 6"),
+    (r"(\d{4})(\d\d)(\d\d)t?(?:(\d\d)(\d\d)(\d\d)?)?(?:[.,](\d{1,9}))?(?: ?([+-]\d\d:?\d\d|[a-z]{1,4}))?(?: ?\[[a-z0-9_+/-]+\])?", "1 2 3 4 5 6 7 - 8"),
+    (r"(\d{4})-(\d\d?)-(\d\d?)", "1 2 3 - - - - - -"),
+    (r"(\d\d?)/(\d\d?)/(\d{4})", "3 1 2 - - - - - -"),
+    (r"(\d\d?)[.](\d\d?)[.](\d{4})", "3 2 1 - - - - - -"),
+    (rf"(?:{_W}[.]?,? )?(\d\d?)[ -]({_W})[.]?[ -](\d{{4}})", "3 2 1 - - - - - -"),
+)
+
+
+def _fields(v: str) -> str:
+    cases = "\n".join(
+        f"WHEN regexp_full_match({v}, {_q(p)}) THEN [{', '.join(chr(39) * 2 if g == '-' else f'coalesce(regexp_extract({v}, {_q('^(?:' + p + ')$')}, {g}), {chr(39) * 2})' for g in places.split())}]" for p, places in FORMS
+    )
+    return f"CASE {cases} END"
+
+
+def _cases(table: dict, key: str) -> str:
+    return f"map_extract(MAP {{{', '.join(f'{_q(str(k))}: {v}' for k, v in table.items())}}}, {key})[1]"
+
+
+def stamps() -> str:
+    """``stamps``: src, rec, raw, usual, utc_ms of every dated header and mark."""
+    digits = "regexp_replace(x[9], '[^0-9]', '', 'g')"
+    whole = lambda i: f"coalesce(try_cast(nullif(x[{i}], '') AS BIGINT), 0)"
+    hour = f"CASE WHEN x[8] = '' THEN {whole(4)} WHEN {whole(4)} BETWEEN 1 AND 12 THEN {whole(4)} % 12 + CASE WHEN x[8][1] = 'p' THEN 12 ELSE 0 END END"
+    year = f"CASE WHEN length(x[1]) = 2 THEN {whole(1)} + CASE WHEN {whole(1)} < 70 THEN 2000 ELSE 1900 END ELSE {whole(1)} END"
+    n = "try_cast(string_split(v, '.')[1] AS HUGEINT)"
+    fraction = "CASE WHEN contains(v, '.') THEN CAST(rpad(string_split(v, '.')[2], 3, '0')[1:3] AS BIGINT) ELSE 0 END"
+    lo, hi = "946684800", "1893456000"
+    return f"""raws AS (
+      SELECT lower(e.key) AS src, CAST(fetch_id AS VARCHAR) AS rec, url, e.value AS raw FROM (SELECT fetch_id, url, unnest(map_entries(rep_header)) AS e FROM crawl_uris)
+        WHERE lower(e.key) IN ('date', 'last-modified') AND e.value IS NOT NULL
+      UNION ALL SELECT 'mod_date', url, url, CAST(mod_date AS VARCHAR) FROM queue WHERE mod_date IS NOT NULL),
+    zoned AS (
+      SELECT r.*, coalesce(z.zone, 'UTC') AS zone, lower(trim(regexp_replace(raw, '[\\s\u00a0]+', ' ', 'g'))) AS v,
+        CASE WHEN src = 'mod_date' THEN regexp_full_match(raw, '[0-9]{{10}}') ELSE
+          regexp_full_match(raw, '(Mon|Tue|Wed|Thu|Fri|Sat|Sun), [0-9]{{2}} (Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec) [0-9]{{4}} [0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}} GMT') END AS usual
+      FROM raws r LEFT JOIN (SELECT {SITE} AS site, min(zone) AS zone FROM site_zones WHERE identifier IS NOT NULL AND zone IS NOT NULL GROUP BY 1) z
+        ON z.site = regexp_replace({host('r.url')}, '\\.$', '')),
+    fields AS (SELECT *, {_fields('v')} AS x, regexp_extract(v, '\\[(.*)\\]$', 1) AS y FROM zoned),
+    parts AS (
+      SELECT *, {n} AS n, {fraction} AS nf, x[9] = '' AS local, CASE WHEN x[7] = '' OR x IS NULL THEN 0 ELSE CAST(rpad(x[7], 3, '0')[1:3] AS BIGINT) END AS frac,
+        CASE WHEN y = '' THEN '' WHEN y IN ('utc', 'gmt', 'z') THEN 'UTC' ELSE coalesce((SELECT min(name) FROM pg_timezone_names() WHERE lower(name) = y), 'none') END AS region,
+        CASE WHEN x[9][1] IN ('+', '-') THEN CASE WHEN CAST({digits}[3:4] AS BIGINT) < 60 AND CAST({digits}[1:2] AS BIGINT) * 60 + CAST({digits}[3:4] AS BIGINT) <= 1080
+            THEN CASE WHEN x[9][1] = '-' THEN -1 ELSE 1 END * (CAST({digits}[1:2] AS BIGINT) * 60 + CAST({digits}[3:4] AS BIGINT)) END ELSE {_cases(ZONES, 'x[9]')} END AS shift,
+        try(make_timestamp(CAST({year} AS BIGINT), CAST(coalesce(try_cast(x[2] AS BIGINT), {_cases(MONTHS, 'x[2]')}) AS BIGINT), try_cast(x[3] AS BIGINT), {hour}, {whole(5)}, CAST({whole(6)} AS DOUBLE))) AS wall
+      FROM fields),
+    instants AS (
+      SELECT *, CASE WHEN region = 'none' OR wall IS NULL THEN NULL WHEN NOT local THEN epoch_ms(wall) - shift * 60000 + frac
+          ELSE epoch_ms(CASE WHEN timezone(place, t - INTERVAL 1 HOUR) = wall THEN t - INTERVAL 1 HOUR ELSE t END) + frac END AS spelt
+      FROM (SELECT *, timezone(place, wall) AS t FROM (SELECT *, CASE WHEN region NOT IN ('', 'none') THEN region ELSE zone END AS place FROM parts))),
+    stamps AS (
+      SELECT src, rec, raw, usual, CASE WHEN ms >= {lo}000 AND ms < {hi}000 THEN CAST(ms AS BIGINT) END AS utc_ms FROM (
+        SELECT *, coalesce(CASE WHEN NOT regexp_full_match(v, '[0-9]{{1,19}}([.][0-9]{{1,9}})?') THEN NULL
+          WHEN n >= {lo} AND n < {hi} THEN n * 1000 + nf WHEN n >= {lo}000 AND n < {hi}000 THEN n
+          WHEN n >= {lo}000000 AND n < {hi}000000 THEN n // 1000 WHEN n >= {lo}000000000 AND n < {hi}000000000 THEN n // 1000000 END, spelt) AS ms FROM instants))"""
+
 
 def oracle_sql() -> dict[str, str]:
     """Query name to SQL."""
     due = f"next_date > 1000 AND next_date <= {NOW}"
     return {
+        "p2_found": f"WITH {stamps()} SELECT DISTINCT src, rec, utc_ms FROM stamps WHERE NOT usual AND utc_ms IS NOT NULL",
+        "p2_all": f"WITH {stamps()} SELECT src, rec, raw, usual, utc_ms FROM stamps",
         "p4_found": f"SELECT identifier FROM queues JOIN {HOSTS} USING (queue) GROUP BY identifier HAVING count(*) >= (SELECT count(*) FROM queues) / 50.0",
         "p4_per_host": f"""SELECT identifier, count(*) AS n_rows, count(*) FILTER ({due}) AS n_urls_due, min(next_date) FILTER ({due}) AS first_due, max(next_date) FILTER ({due}) AS last_due
             FROM queues JOIN {HOSTS} USING (queue) GROUP BY identifier""",
