@@ -1,9 +1,18 @@
 """Keyword-stuffed pages, link lists and tag lists (problem 5).
 
-A page's body, without the site's frame, is cut into blocks of whole lines; each block is
-compressed, and its ratio is divided by the ratio that prose of that length and language
-has. Extreme redundancy flags a block, and a low density of sentence ends confirms it. A
-page is a case if such blocks are a good part of it. Blocks cover all text.
+A page's main body, without the site's frame, is split into its sentences and the rest:
+lines with few sentence ends for their length. The rest is cut into blocks of one size,
+whatever the page's length; each block is compressed, and its ratio is divided by the
+ratio that prose of that length and language has. A block is extremely redundant below a
+bound that one in a hundred blocks of prose lies below. A page is a case if such blocks,
+confirmed by their low density of sentence ends, hold most of the main body's text. There
+is no least length: a page of few words is judged like one of many blocks.
+
+Links keep their tags in the blocks, which makes lists of short links redundant. The
+blocks are judged a second time with every linked word written as the same word, as linked
+words are no running text: so a list of links is redundant although its headlines all
+differ. As an article may have a long list of references, the second way counts only if
+no line of sentences is in the main body.
 
 Null and empty bodies, and bodies without text, are no case. Repeated rows are judged
 each on its own.
@@ -11,92 +20,113 @@ each on its own.
 
 from __future__ import annotations
 
-import itertools
+import html
+import math
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from linkflow.llm.pages import Cache, charset_of, codec_of, decode, html_pages, look, main_block, parse
+from linkflow.llm.pages import Cache, charset_of, codec_of, decode, html_pages, look, main_block, parse, visible
 
-#: Ratio of prose: SCALE * n ** -POWER for n characters, fitted to article text; times the language's factor.
-SCALE, POWER = 2.5, 0.215
-#: A block of LONG_CHARS is redundant below REDUNDANT times the ratio of prose, one of LEAST_CHARS below SHORT times;
-#: table rows, which repeat their form anyhow, at any length below SHORT times.
-REDUNDANT, SHORT, LONG_CHARS, LEAST_CHARS = 0.985, 0.75, 575, 200
-#: Share of the main block's text that redundant blocks must have.
-SHARE = 0.65
+#: Characters of a block; the rest of a page is cut into equal parts of about that size.
+BLOCK = 1_000
+#: A block below this times the ratio of prose is extremely redundant: the first percentile of prose blocks from 60 to
+#: 1,000 characters is 0.85 to 0.90 times their median. Table rows repeat their form anyhow and have a bound of their own.
+EXTREME, ROWS = 0.88, 0.75
+#: Share of the main body's text that extremely redundant blocks must have, as they stand and with linked words alike.
+SHARE, LINKED = 0.65, 0.95
 #: Sentence ends per 1000 characters; prose has 3 and more.
 SENTENCES = 2.4
 
-# Frequent function words by language, and the factor of the language's ratio.
+# Frequent function words by language; a and b of the ratio exp(a) * n ** -b that prose of n characters has (median of article text, 60 to 1,000 characters).
 LANGUAGES = {
-    "en": (frozenset("the of and in was by that for".split()), 1.0),
-    "de": (frozenset("die der und das wird ist den wurde".split()), 1.02),
-    "fr": (frozenset("la le de fut une des sera été".split()), 0.99),
-    "es": (frozenset("la el de fue una del será los".split()), 0.99),
-    "pt": (frozenset("foi da na em pela uma do será".split()), 1.0),
-    "pl": (frozenset("jest w na pod że się została nad".split()), 1.03),
+    "en": (frozenset("the of and in was by that for".split()), 1.058, 0.246),
+    "de": (frozenset("die der und das wird ist den wurde".split()), 1.160, 0.256),
+    "fr": (frozenset("la le de fut une des sera été".split()), 1.263, 0.286),
+    "es": (frozenset("la el de fue una del será los".split()), 1.285, 0.291),
+    "pt": (frozenset("foi da na em pela uma do será".split()), 1.384, 0.310),
+    "pl": (frozenset("jest w na pod że się została nad".split()), 1.429, 0.314),
 }
+_OF_WORD = {w: [k for k, v in LANGUAGES.items() if w in v[0]] for v in LANGUAGES.values() for w in v[0]}
 END = re.compile("[.!?…](?=[\\s”“»«\"')\\]]|$)")
 WORD = re.compile(r"[^\W\d_]+")
+_NO_LINK = re.compile(r"(?i)<(?!/?a\b)[^>]*>")
+_LINKED = re.compile(r"(?is)<a\b[^>]*>(.*?)(?:</a\s*>|$)")
 
 
 def language(text: str) -> str:
-    """Language with most function words in ``text``; English if none has any."""
+    """Language with most function words in ``text``; English if none has one among twenty words."""
     words = WORD.findall(text.lower())
-    count = {k: sum(w in v[0] for w in words) for k, v in LANGUAGES.items()}
-    return max(count, key=lambda k: (count[k], k == "en"))
+    count = Counter(k for w in words if w in _OF_WORD for k in _OF_WORD[w])
+    best = max(LANGUAGES, key=lambda k: (count[k], k == "en"))
+    return best if count[best] * 20 >= len(words) else "en"
 
 
 def redundancy(text: str, lang: str) -> float:
-    """Compression ratio of a block over the ratio of prose; about 1 for prose, lower is more redundant."""
-    n = len(text)
-    return len(zlib.compress(text.encode(), 6)) / n / (LANGUAGES[lang][1] * SCALE * n**-POWER) if n else 1.0
+    """Compression ratio of a block over the ratio of prose; about 1 for prose, lower is more redundant; 1 for an empty one."""
+    raw = text.encode("utf-8", "replace")
+    if not raw:
+        return 1.0
+    _, a, b = LANGUAGES[lang]
+    return len(zlib.compress(raw, 6)) / len(raw) / (math.exp(a) * len(raw) ** -b)
 
 
-def blocks(lines: list[tuple[str, bool]]) -> list[tuple[str, float, bool]]:
-    """Blocks of whole lines (text, whether a table row): text, sentence ends per 1000 characters, whether table rows.
+def with_links(raw: str) -> str:
+    """Visible text of a line in which the tags of links stay."""
+    return " ".join(html.unescape(_NO_LINK.sub(" ", raw)).split())
 
-    A block is a run of lines of one kind: prose, table rows or other, so that a few
-    covering sentences do not thin out what they cover. A line is prose if it has at least
-    ``SENTENCES`` sentence ends per 1000 characters.
-    """
-    out: list[tuple[str, float, bool]] = []
-    for (_, row), run in itertools.groupby(((t, r, len(END.findall(t))) for t, r in lines), key=lambda x: (x[2] * 1000 >= SENTENCES * len(x[0]), x[1])):
-        run = list(run)
-        out.append(("\n".join(t for t, _, _ in run), sum(e for _, _, e in run) * 1000 / sum(len(t) for t, _, _ in run), row))
-    return out
+
+def unlinked(raw: str) -> str:
+    """Visible text of a line with every linked word written as ``link``."""
+    return visible(_LINKED.sub(lambda m: " " + "link " * len(visible(m.group(1)).split()), raw))
+
+
+def cut(text: str, size: int = BLOCK) -> list[str]:
+    """``text`` in equal parts of about ``size`` characters; nothing is left out."""
+    n = max(1, round(len(text) / size))
+    step = max(1, -(-len(text) // n))
+    return [text[i : i + step] for i in range(0, len(text), step)]
 
 
-def kinds(block) -> list[tuple[str, bool]]:
-    """Text of each line of a main block, and whether it is a row of several cells."""
-    return [(x.text, x.own.startswith("tr>td>td")) for x in block]
+def kinds(block) -> list[tuple[str, str, str, bool]]:
+    """Of each line of a main block the visible text, that with links, that without linked words, and whether it is a row of several cells."""
+    return [(x.text, *((with_links(x.raw), unlinked(x.raw)) if "<a" in x.raw or "<A" in x.raw else (x.text, x.text)), x.own.startswith("tr>td>td")) for x in block]
 
 
-def judge(lines: list[tuple[str, bool]]) -> tuple[int, float, float, bool]:
-    """Characters, redundancy, sentence ends per 1000 characters of the most redundant block, and the verdict.
+def judge(lines: list[tuple[str, str, str, bool]]) -> tuple[int, float, float, bool]:
+    """Characters, redundancy and sentence ends per 1000 characters of the most redundant block, and the verdict.
 
     Texts without characters give ``(0, 1, 0, False)``.
     """
-    n = sum(len(t) for t, _ in lines)
+    n = sum(len(t) for t, _, _, _ in lines)
     if not n:
         return 0, 1.0, 0.0, False
-    parts = blocks(lines)
-    if not any(e < SENTENCES and len(b) >= LEAST_CHARS for b, e, _ in parts):
-        return n, 1.0, sum(e * len(b) for b, e, _ in parts) / n, False
-    lang = language(" ".join(t for t, _ in lines))
-    worst, ends, verdict, heavy = 1.0, 0.0, False, 0
-    for block, e, row in parts:
-        size = len(block)
-        ratio = redundancy(block, lang) if size >= LEAST_CHARS else 1.0
-        if ratio < worst:
-            worst, ends = ratio, e
-        if e < SENTENCES and ratio < (SHORT if row else REDUNDANT if size >= LONG_CHARS else SHORT if size >= LEAST_CHARS else 0):
-            verdict, heavy = True, heavy + size
-    return n, worst, ends, verdict and heavy >= SHARE * n
+    rest: dict[bool, list[tuple[str, str, str]]] = {False: [], True: []}
+    ends, sentences = 0, False
+    for text, linked, plain, row in lines:
+        e = len(END.findall(plain))
+        ends += e
+        if e * 1000 < SENTENCES * max(1, len(plain)):
+            rest[row].append((text, linked, plain))
+        else:
+            sentences = True
+    worst, density, heavy = 1.0, ends * 1000 / n, [0.0, 0.0]
+    for row, some in rest.items():
+        shown = sum(len(t) for t, _, _ in some)
+        ways = ["\n".join(x[1] for x in some), "\n".join(x[2] for x in some)]
+        for way, whole in enumerate(ways if ways[0] != ways[1] else ways[:1]):
+            for block in cut(whole):
+                ratio = redundancy(block, language(block))
+                e = len(END.findall(block)) * 1000 / len(block)
+                if ratio < worst and not way:
+                    worst, density = ratio, e
+                if ratio < (ROWS if row else EXTREME) and e < SENTENCES:
+                    heavy[way] += shown * len(block) / len(whole)
+    return n, worst, density, heavy[0] >= SHARE * n or not sentences and heavy[1] >= LINKED * n
 
 
 def is_spam(lines, parent, name) -> bool:
