@@ -12,7 +12,7 @@ Links keep their tags in the blocks, which makes lists of short links redundant.
 blocks are judged a second time with every linked word written as the same word, as linked
 words are no running text: so a list of links is redundant although its headlines all
 differ. As an article may have a long list of references, the second way counts only if
-no line of sentences is in the main body.
+the main body has no line of sentences and next to no line but links.
 
 Null and empty bodies, and bodies without text, are no case. Repeated rows are judged
 each on its own.
@@ -106,12 +106,13 @@ def judge(lines: list[tuple[str, str, str, bool]]) -> tuple[int, float, float, b
     if not n:
         return 0, 1.0, 0.0, False
     rest: dict[bool, list[tuple[str, str, str]]] = {False: [], True: []}
-    ends, sentences = 0, False
+    ends, links, sentences = 0, 0, False
     for text, linked, plain, row in lines:
         e = len(END.findall(plain))
         ends += e
         if e * 1000 < SENTENCES * max(1, len(plain)):
             rest[row].append((text, linked, plain))
+            links += len(text) if set(plain.split()) == {"link"} else 0
         else:
             sentences = True
     worst, density, heavy = 1.0, ends * 1000 / n, [0.0, 0.0]
@@ -126,7 +127,7 @@ def judge(lines: list[tuple[str, str, str, bool]]) -> tuple[int, float, float, b
                     worst, density = ratio, e
                 if ratio < (ROWS if row else EXTREME) and e < SENTENCES:
                     heavy[way] += shown * len(block) / len(whole)
-    return n, worst, density, heavy[0] >= SHARE * n or not sentences and heavy[1] >= LINKED * n
+    return n, worst, density, heavy[0] >= SHARE * n or not sentences and min(heavy[1], links) >= LINKED * n
 
 
 def is_spam(lines, parent, name) -> bool:
